@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -97,3 +98,23 @@ def conf(spark: SparkSession, **values: str) -> Iterator[None]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def global_index(scratch: Scratch, df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the row number from 0 in ``order``, by range partitions and their counts.
+
+    No task sees more than its range; the driver gets one count a partition.
+    """
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    part = F.shiftright(F.col("_m"), 33)
+    rows = scratch.table(ranged.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", part), "indexed")
+    counts = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    offset = F.lit(0).cast("long")
+    if before:
+        offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p")).cast("long")
+    local = F.col("_m") - F.shiftleft(F.col("_p"), 33)
+    return rows.withColumn(name, offset + local).drop("_m", "_p")
