@@ -1,7 +1,7 @@
 """Queries of this package by name, and the SQL for those that SQL can express."""
 
-from granary.llm import line_dedup
+from granary.llm import line_dedup, mixing, packing
 
-_MODULES = (line_dedup,)
+_MODULES = (packing, mixing, line_dedup)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
