@@ -7,7 +7,7 @@ and the estimated cost of both decides. A pair must share the smaller ``l`` of i
 
 The order comes from a sketch of fixed size (hashed counts of all tokens of all texts); any
 order is right, a good one is cheap. Groups of many near copies would still meet in every list,
-so classes with a common minimum hash form blocks of bounded size first: blocks take the place
+so classes that share bands of minimum hashes form blocks of bounded size first: blocks take the place
 of classes in the lists (union of prefixes, smallest ``l``), each block pair that qualifies is
 verified once, exactly, by matrix products over the sets, and only link counts and a spanning
 forest leave the task. No pair of rows is ever emitted within a group.
@@ -27,19 +27,23 @@ from granary import runtime
 from granary.llm import words as W
 from granary.operators.components import connected_components
 
-BUCKETS, SLICE, FAN_IN, HASHES = 1 << 20, 1 << 16, 32, 4
+BUCKETS, SLICE, FAN_IN, BANDS, ROWS = 1 << 20, 1 << 16, 32, 4, 3
+BYTES = 1_000_000  #: of text at once, so that the arrays stay in a core's cache
 MOST = 8  #: the largest l that is considered
 
 
-def shingle_sets(texts: list[bytes], cache: W.WordIds, n: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the n-word shingles of each lower-cased text."""
-    words, starts = W.split_all([t.lower() for t in texts])
-    ids = cache.array(words)
+    ids, starts = W.hash_words(column, lower=True)
     g = W.grams(ids, n)
     out = []
     for a, b in zip(starts.tolist(), starts[1:].tolist()):
         if b - a >= n:
-            out.append(np.unique(g[a : b - n + 1]))
+            s = np.sort(g[a : b - n + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
         else:
             out.append(W.grams(ids[a:b], b - a) + np.uint64(b - a) if b > a else np.zeros(0, np.uint64))
     return out
@@ -49,31 +53,30 @@ def class_key(tokens: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
 
 
-def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), HASHES), np.uint64)
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """``BANDS`` numbers a set, each of ``ROWS`` minimum hashes: near copies share most of them."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-        for k in range(HASHES):
-            out[full, k] = np.minimum.reduceat(W.mix(flat * W._MULT[40 + k]), at)
+        for k in range(BANDS * ROWS):
+            low = np.minimum.reduceat(flat * W._MULT[40 + k], at)
+            out[full, k // ROWS] = W.mix(out[full, k // ROWS] + low)
     return out.view(np.int64)
 
 
-_cache = W.WordIds()
-
-
 def _first(batches, n: int):
-    """Rows of kind 0: a text's class and minimum hashes; rows of kind 1: the task's sketch."""
+    """Rows of kind 0: a text's class and bands; rows of kind 1: the task's sketch."""
     from pyspark import TaskContext
 
     sketch = np.zeros(BUCKETS, np.int64)
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("hashes", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
-    for b in W.slices(batches):
-        sets = shingle_sets(W.raw(b.column(1)), _cache, n)
+    for b in W.slices(batches, max_bytes=BYTES):
+        sets = shingle_sets(b.column(1), n)
         flat = np.concatenate(sets)
         sketch += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        hashes = pa.FixedSizeListArray.from_arrays(pa.array(min_hashes(sets).ravel()), HASHES).cast(pa.list_(pa.int64()))
+        hashes = pa.FixedSizeListArray.from_arrays(pa.array(bands(sets).ravel()), BANDS).cast(pa.list_(pa.int64()))
         k = len(sets)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()), hashes, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     part = TaskContext.get().partitionId()
@@ -127,9 +130,9 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, base: float, percent: int, ve
 def _prefixes(batches, shared, n: int, percent: int):
     counts = np.frombuffer(shared.value[0], np.int64)
     seen: set[bytes] = set()
-    for b in W.slices(batches):
+    for b in W.slices(batches, max_bytes=BYTES):
         rows = []
-        for s in shingle_sets(W.raw(b.column(0)), _cache, n):
+        for s in shingle_sets(b.column(0), n):
             key = class_key(s)
             if key is None or key in seen:
                 continue
@@ -145,13 +148,13 @@ def _prefixes(batches, shared, n: int, percent: int):
 def _sets(batches, n: int, shared=None):
     wanted = None if shared is None else shared.value
     seen: set[bytes] = set()
-    for b in W.slices(batches):
+    for b in W.slices(batches, max_bytes=BYTES):
         if wanted is not None:
             keys = b.column(1).to_numpy()
             at = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
             b = b.filter(pa.array(wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)))
         rows = []
-        for s in shingle_sets(W.raw(b.column(0)), _cache, n) if b.num_rows else []:
+        for s in shingle_sets(b.column(0), n) if b.num_rows else []:
             key = class_key(s)
             if key is None or key in seen:
                 continue
@@ -204,33 +207,34 @@ def _roots(links: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _check(rows: list[tuple], percent: int) -> list[tuple[bytes, bytes, int]]:
-    """(class, a class it is linked with through the pair, linked documents) of one block pair."""
-    a = [r for r in rows if r[0] == 0]
-    b = [r for r in rows if r[0] == 1] or a
-    sa, sb = [np.frombuffer(r[3], np.uint64) for r in a], [np.frombuffer(r[3], np.uint64) for r in b]
-    inter = overlaps(sa, sb)
-    na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
-    link = 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
-    if a is b:
-        np.fill_diagonal(link, False)
-    wa, wb = np.array([r[2] for r in a]), np.array([r[2] for r in b])
-    at = np.argwhere(link)
-    if not len(at):
+FULL, REST, CROSS = 0, 1, 2  #: pairs a unit checks: all; all but those within side 0; those between the sides
+
+
+def _check(rows: list[tuple], mode: int, percent: int) -> list[tuple[bytes, bytes, int]]:
+    """(class, a class it is linked with through the unit, linked documents) of one unit."""
+    rows = list({(r[0], r[1]): r for r in rows}.values())  # a text may have been read by several tasks
+    side = np.array([r[0] for r in rows])
+    sets, docs = [np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows])
+    size = np.array([len(s) for s in sets])
+    at = []
+    for x, y in {FULL: ((0, 0), (0, 1), (1, 1)), REST: ((0, 1), (1, 1)), CROSS: ((0, 1),)}[mode]:
+        i, j = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        if not len(i) or not len(j) or (x == y and len(i) == 1):
+            continue
+        inter = overlaps([sets[k] for k in i], [sets[k] for k in j])
+        r, c = np.nonzero(100 * inter >= percent * (size[i][:, None] + size[j][None, :] - inter))
+        at.append(np.stack([i[r], j[c]], axis=1)[(r < c) if x == y else slice(None)])
+    links = np.concatenate(at) if at else np.zeros((0, 2), np.int64)
+    if not len(links):
         return []
-    keys = [r[1] for r in a]
-    if a is not b:
-        at[:, 1] += len(a)
-        keys += [r[1] for r in b]
-    roots = _roots(at, len(keys))
-    got = (link * wb[None, :]).sum(axis=1)
-    if a is not b:
-        got = np.concatenate([got, (link * wa[:, None]).sum(axis=0)])
-    return [(keys[i], keys[roots[i]], int(got[i])) for i in np.flatnonzero(got)]
+    roots, got = _roots(links, len(rows)), np.zeros(len(rows), np.int64)
+    np.add.at(got, links[:, 0], docs[links[:, 1]])
+    np.add.at(got, links[:, 1], docs[links[:, 0]])
+    return [(rows[i][1], rows[roots[i]][1], int(got[i])) for i in np.flatnonzero(got)]
 
 
 def _verify(batches, percent: int):
-    """Streams rows sorted by block pair; a pair's rows are contiguous and of bounded number."""
+    """Streams rows sorted by unit; a unit's rows are contiguous and of bounded number."""
     now, rows, out = None, [], []
 
     def batch():
@@ -238,20 +242,50 @@ def _verify(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int64())], names=["class_key", "root", "n"])
 
     for b in batches:
-        for x, y, side, key, docs, tokens in zip(*(c.to_pylist() for c in b.columns)):
-            if (x, y) != now:
-                out += _check(rows, percent) if rows else []
-                now, rows = (x, y), []
+        for u, v, mode, side, key, docs, tokens in zip(*(c.to_pylist() for c in b.columns)):
+            if (u, v, mode) != now:
+                out += _check(rows, now[2], percent) if rows else []
+                now, rows = (u, v, mode), []
             rows.append((side, key, docs, tokens))
         if len(out) > 10_000:
             yield batch()
             out = []
-    out += _check(rows, percent) if rows else []
+    out += _check(rows, now[2], percent) if rows else []
     if out:
         yield batch()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 90, block: int = 512, text: str = "text", ident: str = "doc_id", wanted_bound: int = 2_000_000) -> DataFrame:
+def _units(pairs: DataFrame, size: DataFrame, block: int, scratch: runtime.Scratch) -> DataFrame:
+    """(u, v, mode, side, block): what is verified together, from candidate block pairs (a, b).
+
+    A block joins its largest candidate partner, if that is larger and joins no other itself; so a
+    group's left-over blocks travel with its main block once instead of meeting it pair by pair.
+    Those that join one block are cut into parts of about ``block`` classes. Candidate pairs that
+    no such unit covers are units of their own.
+    """
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("block")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("block")))
+    best = both.join(size, "block").groupBy("x").agg(F.max(F.struct("n", "block")).alias("best")).withColumnRenamed("x", "block")
+    joins = best.join(size, "block").filter(F.col("best") > F.struct("n", "block")).select("block", "n", F.col("best.block").alias("main"))
+    joins = scratch.table(joins, "joins")
+    joins = joins.join(joins.select(F.col("block").alias("main")), "main", "left_anti")
+    parts = joins.groupBy("main").agg(F.ceil(F.sum("n") / block).alias("parts"))
+    joins = scratch.table(joins.join(parts, "main").select("block", "main", F.pmod(F.xxhash64("block"), "parts").alias("part")), "units")
+    used = joins.select("main", "part").distinct().unionByName(joins.select("main", F.lit(0).cast("long").alias("part")).distinct()).distinct()
+    mode = F.when(F.col("part") == 0, FULL).otherwise(REST)
+    row = lambda d, u, v, m, side, own: d.select(F.col(u).alias("u"), F.col(v).alias("v"), m.cast("int").alias("mode"), F.lit(side).cast("byte").alias("side"), F.col(own).alias("block"))
+    out = row(used, "main", "part", mode, 0, "main").unionByName(row(joins, "main", "part", mode, 1, "block"))
+    taken = joins.select("block").union(joins.select("main")).distinct()
+    alone = size.filter("n > 1").join(taken, "block", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    out = out.unionByName(row(alone, "block", "part", F.lit(FULL), 0, "block"))
+    mine = lambda c: joins.select(F.col("block").alias(c), F.struct("main", "part").alias(f"unit_{c}"))
+    left = pairs.join(mine("a"), "a", "left").join(mine("b"), "b", "left")
+    covered = (F.col("unit_a.main") == F.col("b")) | (F.col("unit_b.main") == F.col("a")) | (F.col("unit_a") == F.col("unit_b"))
+    left = scratch.table(left.filter(~F.coalesce(covered, F.lit(False))).select("a", "b"), "cross")
+    cross = F.lit(CROSS)
+    return out.unionByName(row(left, "a", "b", cross, 0, "a")).unionByName(row(left, "a", "b", cross, 1, "b"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 90, block: int = 1024, text: str = "text", ident: str = "doc_id", wanted_bound: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id for every row of ``docs``.
 
     Two rows are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of n-word
@@ -278,12 +312,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     full = rows.filter(F.col("class_key").isNotNull())
     classes = full.groupBy("class_key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("hashes").alias("hashes"))
     classes = scratch.table(classes, "classes")
-    tried = classes.select("class_key", F.posexplode("hashes").alias("i", "h"))
-    common = tried.groupBy("i", "h").count().filter("count > 1")
-    best = tried.join(common, ["i", "h"]).groupBy("class_key").agg(F.max(F.struct("count", -F.col("i"), "h")).alias("b"))
-    salt = F.pmod(F.xxhash64("class_key", F.lit(1)), F.ceil(F.col("b.count") / block))
-    blocks = classes.select("class_key", "text_key", "docs").join(best, "class_key", "left")
-    blocks = blocks.select("class_key", "text_key", "docs", F.when(F.col("b").isNull(), F.xxhash64("class_key")).otherwise(F.xxhash64("b.h", salt)).alias("block"))
+    # Near copies share most bands. A class goes to its most common band, and then to where most
+    # of the classes that share a band with it went, so a group ends in one cluster.
+    tried = scratch.table(classes.select("class_key", F.posexplode("hashes").alias("i", "h")), "bands")
+    common = tried.join(tried.groupBy("i", "h").count().filter("count > 1"), ["i", "h"])
+    common = scratch.table(common, "common")
+    went = common.groupBy("class_key").agg(F.max(F.struct("count", -F.col("i"), "h")).alias("b")).select("class_key", F.xxhash64("b").alias("c"))
+    most = common.join(went, "class_key").groupBy("i", "h", "c").agg(F.count("*").alias("n")).groupBy("i", "h").agg(F.max(F.struct("n", "c")).alias("m"))
+    cluster = common.join(most, ["i", "h"]).groupBy("class_key").agg(F.max("m").alias("m")).select("class_key", F.col("m.c").alias("c"))
+    cluster = scratch.table(cluster, "clusters")
+    room = cluster.groupBy("c").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    salted = cluster.join(room, "c").select("class_key", F.xxhash64("c", F.pmod(F.xxhash64("class_key", F.lit(1)), "blocks")).alias("block"))
+    blocks = classes.select("class_key", "text_key", "docs").join(salted, "class_key", "left")
+    blocks = blocks.withColumn("block", F.coalesce("block", F.xxhash64("class_key")))
     blocks = scratch.table(blocks, "blocks")
 
     prefixes = own.select("text").mapInArrow(partial(_prefixes, shared=shared, n=n, percent=percent), "class_key binary, size long, need int, tokens array<long>")
@@ -294,24 +335,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     near = (100 * F.col("ahigh") >= percent * F.col("blow")) & (100 * F.col("bhigh") >= percent * F.col("alow"))
     met = a.join(b, "token").filter((F.col("ablock") < F.col("bblock")) & near)
     met = met.groupBy("ablock", "bblock").agg(F.count("*").alias("shared"), F.min(F.least("aneed", "bneed")).alias("need"))
-    several = blocks.groupBy("block").count().filter("count > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
-    pairs = met.filter("shared >= need").select(F.col("ablock").alias("a"), F.col("bblock").alias("b")).unionByName(several)
-    pairs = scratch.table(pairs, "pairs")
+    pairs = scratch.table(met.filter("shared >= need").select(F.col("ablock").alias("a"), F.col("bblock").alias("b")), "pairs")
 
-    sides = pairs.select("a", "b", F.lit(0).cast("byte").alias("side"), F.col("a").alias("block"))
-    sides = sides.unionByName(pairs.filter("a <> b").select("a", "b", F.lit(1).cast("byte").alias("side"), F.col("b").alias("block")))
-    wanted = scratch.table(blocks.join(sides.select("block").distinct(), "block", "left_semi"), "wanted")
+    size = scratch.table(blocks.groupBy("block").agg(F.count("*").alias("n")), "sizes")
+    wanted = blocks.join(_units(pairs, size, block, scratch), "block").select("class_key", "text_key", "docs", "u", "v", "mode", "side")
+    wanted = scratch.table(wanted, "wanted")
     keys = wanted.select("text_key").distinct()
     if keys.count() <= wanted_bound:
         few = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.toLocalIterator()], dtype=np.int64)))
         sets = own.filter(F.col("text").isNotNull()).select("text", "text_key").mapInArrow(partial(_sets, n=n, shared=few), "class_key binary, tokens binary")
     else:
         sets = own.join(keys, "text_key", "left_semi").select("text", "text_key").mapInArrow(partial(_sets, n=n), "class_key binary, tokens binary")
-    sets = sets.groupBy("class_key").agg(F.min("tokens").alias("tokens"))
-    sets = wanted.select("class_key", "docs", "block").join(sets, "class_key")
-    held = sides.join(sets, "block").select("a", "b", "side", "class_key", "docs", "tokens")
-    held = held.repartition("a", "b").sortWithinPartitions("a", "b")
-    links = scratch.table(held.mapInArrow(partial(_verify, percent=percent), "class_key binary, root binary, n long"), "links")
+    held = sets.hint("merge").join(wanted.drop("text_key"), "class_key").select("u", "v", "mode", "side", "class_key", "docs", "tokens")
+    held = held.repartition("u", "v", "mode").sortWithinPartitions("u", "v", "mode")
+    with runtime.conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+        links = scratch.table(held.mapInArrow(partial(_verify, percent=percent), "class_key binary, root binary, n long"), "links")
 
     parts_of = connected_components(links, scratch, "class_key", "root")
     count = links.groupBy("class_key").agg(F.sum("n").alias("others"))
@@ -347,3 +385,20 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(g.n, 0)::BIGIN
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN degree g ON g.x = d.doc_id LEFT JOIN least l ON l.x = d.doc_id""",
 }
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 90, text: str = "text", ident: str = "doc_id", bound: int = 2_000_000) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one of the smallest id; all columns stay.
+
+    Rows with a null id can't be named as dropped, and stay. Of rows that share an id, one stays. Up to ``bound`` dropped ids are broadcast, beyond that they are joined.
+    """
+    scratch = runtime.Scratch(spark)
+    marks = scratch.table(near_duplicates(spark, docs, n, percent, text=text, ident=ident), "marks")
+    lost = marks.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    lost = F.broadcast(lost) if lost.count() <= bound else lost.hint("merge")
+    out = docs.join(lost, F.col(ident) == F.col("_lost"), "left_anti")
+    again = marks.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1)
+    if again.count():
+        named = out.filter(F.col(ident).isNotNull()).dropDuplicates([ident])
+        out = named.unionByName(out.filter(F.col(ident).isNull()))
+    return out

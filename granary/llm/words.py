@@ -87,3 +87,60 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=schema.field(k).type) for k, c in columns.items()], schema=schema)
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A random number a byte value; the second table gives A-Z those of a-z.
+_BYTE = np.array([int.from_bytes(xxhash.xxh3_64_digest(b"byte%d" % i), "little") for i in range(256)], dtype=np.uint64)
+_BYTE_LOW = _BYTE.copy()
+_BYTE_LOW[65:91] = _BYTE[97:123]
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            t = np.full(max(n, 1 << 20), base, np.uint64)
+            t[0] = 1
+            _powers[i] = np.multiply.accumulate(t)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes in a row, and each text's start among them (n + 1 numbers); null is empty."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hash_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the texts in a row, and each text's start among them.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over the whole buffer, so
+    no word becomes a Python object. ``lower`` makes A-Z and a-z equal.
+    """
+    data, offsets = text_buffer(column)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    space = _SPACE[data]
+    begins = ~space
+    ends = begins.copy()
+    begins[1:] &= space[:-1]
+    ends[:-1] &= space[1:]
+    full = offsets[1:] > offsets[:-1]
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
+    begins[first] |= ~space[first]
+    ends[last] |= ~space[last]
+    at, to = np.flatnonzero(begins), np.flatnonzero(ends)
+    up, down = _power_tables(len(data))
+    total = (_BYTE_LOW if lower else _BYTE)[data] * up
+    np.cumsum(total, out=total)
+    before = np.where(at > 0, total[at - 1], np.uint64(0))
+    return mix((total[to] - before) * down[at]), np.searchsorted(at, offsets)
