@@ -14,7 +14,9 @@ sorting texts, and no task ever holds all pieces of a frequent length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache, partial
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +106,56 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_MARKS = b".,;:!?#$%&*|()"
+#: Letters whose lower case depends on their place or is more than a letter.
+_CASES = frozenset("\u03a3\u0130")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in plain}
+    return table | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in table)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordTokens(dict):
-    """word -> its ids as little-endian 32-bit; holds ``bound`` words, the first met."""
+    """word -> its ids as little-endian 32-bit; holds ``bound`` words, the first met.
+
+    Where probes show that the vocabulary ignores case and splits letters from marks (``parts``), a
+    word of letters and closing marks is put together from the ids of its lower-case letters, which
+    go to the merges directly, and of its marks. All other words take the whole tokenizer.
+    """
 
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 1_000_000):
         super().__init__()
-        self.encode, self.bound = _tokenizer(path).encode, bound
+        self.tokenizer, self.bound = _tokenizer(path), bound
+        self.model = self.tokenizer.model
+        self.parts = False
+        letters = [w.encode() for w in ("word", "an", "x", "über", "ñaó", "straße", "слово", "言葉")]
+        self.parts = all(self.whole(w) == self.letters(w) and self.whole(w.decode().upper().encode() + m) == self.whole(w.decode().upper().lower().encode()) + self.whole(m) for w in letters for m in (b".", b",", b"!!", b"$$$", b"|,"))
+
+    def whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_LETTERS))]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        low = None
+        if self.parts and (core := word.rstrip(_MARKS)):
+            if core.isalpha():  # of bytes: A-Z and a-z alone
+                low = core.lower()
+            elif not core.isascii() and (c := core.decode()).isalpha() and is_normalized("NFC", c) and not _CASES.intersection(c):
+                low = c.lower().encode()
+        if low is None:
+            ids = self.whole(word)
+        elif len(core) < len(word):
+            ids = self[low] + self[word[len(core) :]]
+        else:
+            ids = self[low] if low != word else self.letters(word)
         if len(self) < self.bound:
             self[word] = ids
         return ids
@@ -192,7 +235,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = 4096, vocabulary:
     offsets = scratch.table(counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))), "offsets")
     histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(plan(histogram, capacity))
-    ranked = pieces.join(offsets.drop("count"), ["_part", "length"])
+    ranked = pieces.join(offsets.drop("count").hint("merge"), ["_part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("_before") + F.col("_local")).alias("_rank"))
     return ranked.mapInArrow(partial(_place, shared=shared), "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long")
 
