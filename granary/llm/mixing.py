@@ -13,6 +13,8 @@ tasks, and the sums over strata join the parts exactly.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +71,7 @@ def source_targets(spark: SparkSession, sources: DataFrame, scratch: runtime.Scr
     return ranked.withColumn("target", F.when(capped, cap.cast("double")).otherwise(F.lit(level or 0.0) * F.col("weight")))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 17, text: str = "text", ident: str = "doc_id", source: str = "source", strata: int = 3) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 17, text: str = "text", ident: str = "doc_id", source: str = "source", strata: int = 3, with_key: bool = False) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes of the document).
 
     Size is the number of words; null text has none. A null source is a source of its own, after
@@ -81,7 +83,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3,
     """
     scratch = runtime.Scratch(spark)
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    sized = own.mapInArrow(_sizes, "doc_id long, source string, size long")
+    key = ["_key"] * with_key
+    if with_key:
+        own = own.withColumn("_key", F.xxhash64("text"))
+    sized = own.mapInArrow(_sizes, "doc_id long, source string, " + "_key long, " * with_key + "size long")
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = scratch.table(sized.withColumn("_h", hashed), "sizes")
     stratum = F.substring("_h", 1, strata)
@@ -98,7 +103,50 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     extra = F.floor(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long") - F.col("_before") - F.col("_run")
     taken = F.col("_whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), extra))
-    return rows.withColumn("_whole", whole).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.withColumn("_whole", whole).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *key)
+
+
+def _cut(batches, text: str):
+    """Texts of repetitions: whole, or their first ``_words`` words."""
+    from granary.llm import words as W
+
+    for b in W.slices(batches, text):
+        cols = dict(zip(b.schema.names, b.columns))
+        least = cols.pop("_words").to_pylist()
+        if any(n is not None for n in least):
+            out = []
+            for t, n in zip(W.raw(cols[text].cast(pa.string())), least):
+                if n is not None:
+                    end = 0
+                    for w in t.split()[:n]:
+                        end = t.index(w, end) + len(w)
+                    t = t[:end]
+                out.append(t)
+            cols[text] = pa.array(out, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 17, text: str = "text", ident: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs`` that are taken, as often as they are, all columns as they were.
+
+    A row appears once for each whole repetition; the one document at a source's border has one
+    more in part, its first words. Rows that aren't taken, or have no words, are left out. Rows of
+    equal id and text are told apart by number only: they share what is taken of them evenly.
+    """
+    scratch = runtime.Scratch(spark)
+    key = F.xxhash64(F.col(text).cast("string"))
+    marks = mix(spark, docs.withColumn(text, F.col(text).cast("string")), weights, epochs, seed, text, ident, source, with_key=True)
+    marks = marks.groupBy("doc_id", "_key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
+    marks = scratch.table(marks.filter("_taken > 0").withColumnRenamed("doc_id", "_id"), "marks")
+    rows = docs.withColumn("_own", key).join(marks.hint("merge"), F.col(ident).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    if marks.filter("_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_id", "_key"])
+    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    rest = F.col("_taken") - (F.col("_n") - 1) * F.col("_size")
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).withColumn("_words", F.when(rest < F.col("_size"), rest))
+    rows = rows.withColumn(text, F.col(text).cast("string")).select(*[c for c in docs.columns], "_words")
+    schema = rows.drop("_words").schema
+    return rows.mapInArrow(partial(_cut, text=text), schema)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
