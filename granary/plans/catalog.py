@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = None
+from granary.plans import knowledge, retrieval
+
+QUERIES = retrieval.QUERIES | knowledge.QUERIES
+SQL = retrieval.SQL | knowledge.SQL
+FLAGSHIP = retrieval.multipath_rrf
