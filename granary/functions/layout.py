@@ -95,19 +95,31 @@ def has_equation(spans: Column) -> Column:
 OBJECT = r'(?s)\{[^{}]*?"bbox"\s*:\s*\[[^\]]*?\][^{}]*?\}'
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; nested plain expressions would be copied for each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def repaired(raw: Column) -> Column:
     """Layout JSON text with missing commas, a cut last element, repeated objects and missing brackets put right."""
+
+    def cut(t: Column) -> Column:
+        n = F.size(F.split(t, r'\{"bbox":', -1)) - 1
+        head = F.call_function("substring_index", t, F.lit('{"bbox":'), n)
+        shorter = F.regexp_replace(F.regexp_replace(head, r"\s+$", ""), ",$", "")
+        broken = (F.length(t) > 50_000) | ~F.regexp_replace(t, r"\s+$", "").endswith("]")
+        return F.when(broken & (n > 1), shorter).otherwise(t)
+
+    def once(t: Column) -> Column:
+        joined = lambda o: F.when(F.size(F.array_distinct(o)) < F.size(o), F.concat(F.lit("["), F.array_join(F.array_distinct(o), ", "), F.lit("]"))).otherwise(t)
+        return _let(F.regexp_extract_all(t, F.lit(OBJECT), 0), joined)
+
+    def closed(t: Column) -> Column:
+        return F.when(t.endswith("]"), t).otherwise(F.concat(F.regexp_replace(F.regexp_replace(t, ",+$", ""), r"\s+$", ""), F.lit("]")))
+
     t = F.regexp_replace(raw, r'\}\s*\{(?!")', "},{")
-    n = F.size(F.split(t, r'\{"bbox":', -1)) - 1
-    cut = F.regexp_replace(F.regexp_replace(F.call_function("substring_index", t, F.lit('{"bbox":'), n), r"\s+$", ""), ",$", "")
-    whole = (F.length(t) > 50_000) | ~F.regexp_replace(t, r"\s+$", "").endswith("]")
-    t = F.when(whole & (n > 1), cut).otherwise(t)
-    objects = F.regexp_extract_all(t, F.lit(OBJECT), 0)
-    once = F.array_distinct(objects)
-    t = F.when(F.size(once) < F.size(objects), F.concat(F.lit("["), F.array_join(once, ", "), F.lit("]"))).otherwise(t)
-    t = tx.strip(t)
-    t = F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t))
-    return F.when(t.endswith("]"), t).otherwise(F.concat(F.regexp_replace(F.regexp_replace(t, ",+$", ""), r"\s+$", ""), F.lit("]")))
+    t = tx.strip(_let(_let(t, cut), once))
+    return _let(_let(t, lambda x: F.when(x.startswith("["), x).otherwise(F.concat(F.lit("["), x))), closed)
 
 
 def _single(t: Column) -> Column:
@@ -122,12 +134,14 @@ def _single(t: Column) -> Column:
 
 def parse_cells(raw: Column) -> Column:
     """Cells of a model's layout text after repair; what can't be parsed gives the objects that can, or none."""
-    t = repaired(raw)
-    failfast = F.from_json(t, CELL, {"mode": "PERMISSIVE"})
-    whole = F.when(F.is_valid_utf8(t) & F.try_parse_json(t).isNotNull(), failfast)
-    each = F.transform(F.regexp_extract_all(t, F.lit(OBJECT), 0), lambda o: F.when(F.try_parse_json(o).isNotNull(), F.from_json(o, CELL[len("array<") : -1])))
-    each = F.filter(each, lambda c: c.isNotNull())
-    return F.coalesce(whole, F.when(F.size(each) > 0, each), _single(t), F.array().cast(CELL))
+
+    def read(t: Column) -> Column:
+        whole = F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, CELL, {"mode": "PERMISSIVE"}))
+        each = F.transform(F.regexp_extract_all(t, F.lit(OBJECT), 0), lambda o: F.when(F.try_parse_json(o).isNotNull(), F.from_json(o, CELL[len("array<") : -1])))
+        some = _let(F.filter(each, lambda c: c.isNotNull()), lambda e: F.when(F.size(e) > 0, e))
+        return F.coalesce(whole, some, _single(t), F.array().cast(CELL))
+
+    return _let(repaired(raw), read)
 
 
 def usable(cells: Column) -> Column:
@@ -142,19 +156,20 @@ def usable(cells: Column) -> Column:
 
 
 def without_repeats(cells: Column, pairs: int = 5, boxes: int = 2) -> Column:
-    """Only the first of cells whose (category, text) comes ``pairs`` times or more, or whose box comes ``boxes`` times or more."""
-    keyed = F.transform(cells, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    same_pair = lambda a, b: (a["category"] == b["category"]) & (a["text"] == b["text"])
-
-    def stays(k: Column) -> Column:
-        c, i = k["c"], k["i"]
-        twins = F.filter(keyed, lambda o: same_pair(o["c"], c))
-        alike = F.filter(keyed, lambda o: o["c"]["bbox"] == c["bbox"])
-        late_pair = c["category"].isNotNull() & c["text"].isNotNull() & (F.size(twins) >= pairs) & (twins[0]["i"] < i)
-        late_box = c["bbox"].isNotNull() & (F.size(c["bbox"]) > 0) & (F.size(alike) >= boxes) & (alike[0]["i"] < i)
-        return ~F.coalesce(late_pair, F.lit(False)) & ~F.coalesce(late_box, F.lit(False))
-
-    return F.transform(F.filter(keyed, stays), lambda k: k["c"])
+    """Only the first of cells whose (category, text) comes ``pairs`` times or more, or whose box comes ``boxes`` times or more.
+
+    Keys are strings in one array each, so that a cell's first place and count are array functions.
+    """
+    pair = lambda c: F.coalesce(F.concat(c["category"], F.lit("\x00"), c["text"]), F.lit(""))
+    box = lambda c: F.coalesce(F.array_join(c["bbox"], ","), F.lit(""))
+    held = F.struct(cells.alias("c"), F.transform(cells, pair).alias("p"), F.transform(cells, box).alias("b"))
+
+    def run(h: Column) -> Column:
+        late = lambda keys, i, most: (keys[i] != "") & (F.array_position(keys, keys[i]) <= i) & (F.size(F.filter(keys, lambda x: x == keys[i])) >= most)
+        marked = F.transform(h["c"], lambda c, i: F.struct(c.alias("c"), (late(h["p"], i, pairs) | late(h["b"], i, boxes)).alias("late")))
+        return F.transform(F.filter(marked, lambda m: ~m["late"]), lambda m: m["c"])
+
+    return _let(held, run)
 
 
 def cleaned(raw: Column) -> Column:

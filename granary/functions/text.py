@@ -94,18 +94,19 @@ def _display(inner: Column) -> Column:
 
 def formula(text: Column) -> Column:
     """A formula cell as Markdown: display formulas on lines of their own, text with inline ones as it is."""
-    t = strip(text)
-    n = F.length(t)
-    inner = strip(t.substr(F.lit(3), F.greatest(n - 4, F.lit(0))))
-    bare = F.when(t.contains("usepackage"), without_preamble(t)).otherwise(t)
-    ticked = bare.startswith("`") & bare.endswith("`")
-    bare = F.when(ticked, bare.substr(F.lit(2), F.greatest(F.length(bare) - 2, F.lit(0)))).otherwise(bare)
-    return (
-        F.when(t.startswith("$$") & t.endswith("$$"), F.when(~inner.contains("$"), _display(inner)).otherwise(t))
-        .when(t.startswith("\\[") & t.endswith("\\]"), _display(inner))
-        .when(t.rlike(r"\\\[.*\\\]") | t.rlike(r"\$([^$]+)\$") | ~has_latex(t), t)
-        .otherwise(_display(bare))
-    )
+
+    def one(t: Column) -> Column:
+        inner = strip(t.substr(F.lit(3), F.greatest(F.length(t) - 4, F.lit(0))))
+        bare = F.when(t.contains("usepackage"), without_preamble(t)).otherwise(t)
+        ticked = F.regexp_replace(bare, "(?s)^`(.*)`$", "$1")
+        return (
+            F.when(t.startswith("$$") & t.endswith("$$"), F.when(~inner.contains("$"), _display(inner)).otherwise(t))
+            .when(t.startswith("\\[") & t.endswith("\\]"), _display(inner))
+            .when(t.rlike(r"\\\[.*\\\]") | t.rlike(r"\$([^$]+)\$") | ~has_latex(t), t)
+            .otherwise(_display(ticked))
+        )
+
+    return F.transform(F.array(strip(text)), one)[0]
 
 
 def spaced_formulas(markdown: Column) -> Column:
