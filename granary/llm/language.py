@@ -10,7 +10,6 @@ the texts that reach it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 from functools import partial
@@ -26,29 +25,44 @@ from granary.llm import samples
 from granary.llm import words as W
 
 BUCKETS = 1 << 16
-_LETTER = re.compile(rb"[A-Za-z]")
+_EDGES = "0123456789.,;:!?()[]{}\"'#$%&*|<>-_/\\+=@~^`…«»“”„’‘¿¡"
 
 
-def has_letter(text: bytes) -> bool:
-    return bool(_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode()))
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' features, and where each word's begin (n + 1 numbers).
 
-
-def features(word: bytes) -> list[int]:
-    """Buckets of a word's affixes, n-grams and lexicon entry; none where it has no letter."""
-    if not has_letter(word):
-        return []
-    w = word.decode().lower().strip("0123456789.,;:!?()[]{}\"'#$%&*|<>-_/\\+=@~^`…«»“”„’‘¿¡")
-    s = f"^{w}$"
-    own = {"w" + w, "p" + w[:2], "p" + w[:3], "s" + w[-2:], "s" + w[-3:]}
-    own |= {"b" + s[i : i + 2] for i in range(len(s) - 1)} | {"t" + s[i : i + 3] for i in range(len(s) - 2)} | {"u" + c for c in w if ord(c) > 127}
-    return [xxhash.xxh3_64_intdigest(f) & (BUCKETS - 1) for f in own]
+    Features: character trigrams of the word between marks (the outer ones are affixes of two
+    letters), affixes of three letters, letters beyond ASCII, and the word itself (the lexicon).
+    A word without a letter has none. All hashes are computed on code points at once.
+    """
+    cores = [w.decode().lower().strip(_EDGES) for w in words]
+    cores = [c if c.isalpha() or any(map(str.isalpha, c)) else "" for c in cores]
+    own = [i for i, c in enumerate(cores) if c]
+    starts = np.zeros(len(words) + 1, np.int64)
+    if not own:
+        return np.zeros(0, np.int64), starts
+    cp = np.frombuffer("".join([f"^{cores[i]}$" for i in own]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.array([len(cores[i]) + 2 for i in own])
+    end = np.cumsum(size)
+    begin = end - size
+    word = np.repeat(np.arange(len(own)), size)
+    m = W._MULT
+    tri = W.mix(cp[:-2] * m[0] + cp[1:-1] * m[1] + cp[2:] * m[2])
+    inside = np.flatnonzero(word[:-2] == word[2:])
+    wide = np.flatnonzero(cp > 127)
+    whole = W.mix(np.add.reduceat(W.mix(cp * m[3] + (np.arange(len(cp)) - begin[word]).astype(np.uint64) * m[4]), begin))
+    long = np.flatnonzero(size >= 5)
+    four = [W.mix(sum((cp[at[long] + k] * m[5 + k + 4 * side] for k in range(4)), np.uint64(side))) for side, at in enumerate((begin, end - 4))]
+    owner = np.concatenate([word[inside], word[wide], np.arange(len(own)), long, long])
+    bucket = np.concatenate([tri[inside], W.mix(cp[wide] * m[20]), whole, *four]) & np.uint64(BUCKETS - 1)
+    order = np.argsort(owner, kind="stable")
+    starts[np.array(own) + 1] = np.bincount(owner, minlength=len(own))
+    return bucket[order].astype(np.int64), np.cumsum(starts)
 
 
 def emissions(weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Emission scores, and in the last column whether the word has a letter."""
-    own = [features(w) for w in words]
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in own])])
-    flat = np.array([i for f in own for i in f], dtype=np.int64)
+    flat, starts = features(words)
     out = np.zeros((len(words), weights.shape[1] + 1), np.float32)
     out[:, :-1] = samples.sums(weights[flat], starts)
     out[:, -1] = np.diff(starts) > 0
@@ -95,7 +109,7 @@ def train(texts: list[bytes], langs: list[str], steps: int = 400, size: int = 48
     by = [[w for t, g in zip(texts, langs) if g == lang for w in [t.split()] if w] for lang in labels]
     if sum(map(bool, by)) < 2:
         return m
-    rng, cache = np.random.default_rng(seed), {}
+    rng = np.random.default_rng(seed)
     sq_w, sq_t = np.full(BUCKETS * len(labels), 1e-2).reshape(m.weights.shape), np.full(m.trans.shape, 1e-1)
     usable = [i for i, d in enumerate(by) if d]
     for _ in range(steps):
@@ -111,9 +125,7 @@ def train(texts: list[bytes], langs: list[str], steps: int = 400, size: int = 48
                 truth += [lang] * k
                 left -= k
             starts.append(len(words))
-        own = [cache[w] if w in cache else cache.setdefault(w, features(w)) for w in words]
-        spans = np.concatenate([[0], np.cumsum([len(f) for f in own])])
-        flat = np.array([i for f in own for i in f], dtype=np.int64)
+        flat, spans = features(words)
         y, starts_ = np.array(truth), np.array(starts)
         gamma, expected = forward_backward(samples.sums(m.weights[flat], spans), starts_, m.trans, pairs=True)
         gamma[np.arange(len(y)), y] -= 1
