@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.functions import vectors as vx
 from granary.operators.filters import condition
@@ -61,7 +62,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int |
 
     def one_pass(block):
         dim = len(block[0]["vector"])
-        ids = pa.array([r["query_id"] for r in block])
+        ids = pa.array([r["query_id"] for r in block], to_arrow_type(queries.schema["query_id"].dataType))
         shared = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in block], np.float64)))
         fit = own.filter(F.col("vector").isNotNull() & (F.size("vector") == dim)).select("id", vx.doubles(F.col("vector")).alias("vector"))
         return fit.mapInArrow(partial(_blocks, shared=shared, metric=metric, k=k if k is not None else 1 << 30), schema)

@@ -94,8 +94,9 @@ def communities(edges: DataFrame, scratch: Scratch, max_size: int = 5, rounds: i
     """(node, community, parent, level, final): clusters that nest, split while larger than ``max_size``.
 
     Level 0 are connected components. A cluster over the size is split by rounds of local moves:
-    each node takes the label that most of its neighbours in the cluster have, ties to the smallest
-    label, and nodes of one hash parity move at a time so that labels don't swap for ever. A part
+    each node takes the label of largest modularity gain (links to it less those expected), ties to
+    its own and then the smallest label, and nodes of one hash parity move at a time so that labels
+    don't swap for ever. A part
     that doesn't split stays, as the only case over the size. Deterministic.
     """
     both = scratch.table(neighbours(edges).select("node", "other").filter("node <> other").distinct(), "neighbours")
@@ -113,10 +114,18 @@ def communities(edges: DataFrame, scratch: Scratch, max_size: int = 5, rounds: i
         labels = scratch.table(big.select("node", "community", F.col("node").alias("label")), "labels")
         inner = both.join(labels.select("node", "community"), "node").join(labels.select(F.col("node").alias("other"), F.col("community").alias("c")), "other").filter("community = c").select("node", "other")
         inner = scratch.table(inner, "inner")
+        degree = scratch.table(inner.groupBy("node").agg(F.count("*").alias("deg")), "degree")
         for step in range(rounds):
-            seen = inner.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
-            top = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "label"))
-            pick = seen.withColumn("r", top).filter("r = 1").select("node", F.col("label").alias("new"))
+            held = labels.join(degree, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+            weight = held.groupBy("community").agg(F.sum("deg").alias("all"))
+            total = held.groupBy("community", "label").agg(F.sum("deg").alias("tot")).join(weight, "community")
+            links = inner.join(labels.select(F.col("node").alias("other"), F.col("label").alias("to")), "other").groupBy("node", "to").agg(F.count("*").alias("n"))
+            tried = links.join(held, "node").unionByName(held.withColumn("n", F.lit(0).cast("long")).withColumn("to", F.col("label")))
+            tried = tried.groupBy("node", "community", "label", "deg", "to").agg(F.max("n").alias("n")).join(total.withColumnRenamed("label", "to"), ["community", "to"])
+            own = F.when(F.col("to") == F.col("label"), F.col("deg")).otherwise(0)
+            gain = F.round(F.col("n") - F.col("deg") * (F.col("tot") - own) / F.greatest(F.col("all"), F.lit(1)), 9)
+            best = Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("to") == F.col("label")), "to")
+            pick = tried.withColumn("gain", gain).withColumn("r", F.row_number().over(best)).filter("r = 1").select("node", F.col("to").alias("new"))
             move = F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2
             labels = scratch.table(labels.join(pick, "node", "left").select("node", "community", F.when(move, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label")), "labels")
         parts = labels.groupBy("community").agg(F.countDistinct("label").alias("parts"))
