@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from granary.functions import text as tx
 
 CELL = "array<struct<bbox:array<int>,category:string,text:string>>"
-CATEGORIES = ("Caption", "Footnote", "Formula", "List-item", "Page-footer", "Page-header", "Picture", "Section-header", "Table", "Text", "Title")
 
 
 def round_by(x: Column, factor: int) -> Column:
@@ -92,7 +91,8 @@ def has_equation(spans: Column) -> Column:
     return F.exists(spans, lambda s: s["type"].contains("equation"))
 
 
-OBJECT = r'(?s)\{[^{}]*?"bbox"\s*:\s*\[[^\]]*?\][^{}]*?\}'
+_INNER, _BOX = "[^{}]*?", '"bbox"' + r"\s*:\s*"
+OBJECT = r"(?s)\{" + _INNER + _BOX + r"\[[^\]]*?\]" + _INNER + r"\}"
 
 
 def _let(value: Column, body) -> Column:
@@ -117,16 +117,16 @@ def repaired(raw: Column) -> Column:
     def closed(t: Column) -> Column:
         return F.when(t.endswith("]"), t).otherwise(F.concat(F.regexp_replace(F.regexp_replace(t, ",+$", ""), r"\s+$", ""), F.lit("]")))
 
-    t = F.regexp_replace(raw, r'\}\s*\{(?!")', "},{")
+    t = F.regexp_replace(raw, r"\}\s*\{" + '(?!")', "},{")
     t = tx.strip(_let(_let(t, cut), once))
     return _let(_let(t, lambda x: F.when(x.startswith("["), x).otherwise(F.concat(F.lit("["), x))), closed)
 
 
 def _single(t: Column) -> Column:
     """The one cell that can be read from a single object that breaks off."""
-    numbers = F.transform(F.split(F.regexp_extract(t, r'"bbox"\s*:\s*\[([^\]]+)\]', 1), ","), lambda x: F.trim(x).try_cast("int"))
-    category = F.regexp_extract(t, r'"category"\s*:\s*"([^"]+)"', 1)
-    text = F.nullif(F.regexp_extract(t, r'"text"\s*:\s*"([^"]{0,10000})', 1), F.lit(""))
+    numbers = F.transform(F.split(F.regexp_extract(t, _BOX + r"\[([^\]]+)\]", 1), ","), lambda x: F.trim(x).try_cast("int"))
+    category = F.regexp_extract(t, '"category"' + r"\s*:\s*" + '"([^"]+)"', 1)
+    text = F.nullif(F.regexp_extract(t, '"text"' + r"\s*:\s*" + '"([^"]{0,10000})', 1), F.lit(""))
     ok = tx.strip(t).startswith('[{"bbox":') & (F.size(numbers) == 4) & F.forall(numbers, lambda x: x.isNotNull())
     cell = F.struct(numbers.alias("bbox"), F.when(category == "", F.lit("Text")).otherwise(category).alias("category"), text.alias("text"))
     return F.when(ok, F.array(cell).cast(CELL))

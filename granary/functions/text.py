@@ -73,7 +73,7 @@ def decompose(query: Column, rules: Mapping[str, str]) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(query))
 
 
-_LATEX = (r"\$\$.*?\$\$", r"\$[^$\n]+?\$", r"\\begin\{.*?\}.*?\\end\{.*?\}", r"\\[a-zA-Z]+", r"\\\[.*?\\\]", r"\\\(.*?\\\)")
+_LATEX = (r"\\[a-zA-Z]+", r"\$\$.*?\$\$", r"\$[^$\n]+?\$", r"\\\[.*?\\\]", r"\\\(.*?\\\)")
 _PREAMBLE = r"(?i)\\documentclass\{[^}]+\}|\\usepackage(\[[^\]]*\])?\{[^}]+\}|\\(begin|end)\{document\}"
 
 
@@ -128,7 +128,8 @@ def valid_input(text: Column, most: int) -> Column:
     return F.coalesce((F.length(strip(text)) > 0) & (F.length(text) <= most), F.lit(False))
 
 
-ENTITY_LINE = r"(?imU)^(\w+(?:\s+\w+)*)\s*->\s*([a-zA-Z\s]+?)\s*->\s*(\w+(?:\s+\w+)*)$"
+_NAME, _ARROW = r"\w+(?:\s+\w+)*", r"\s*->\s*"
+ENTITY_LINE = f"(?imU)^({_NAME}){_ARROW}([a-zA-Z\\s]+?){_ARROW}({_NAME})$"
 
 
 def entities(text: Column) -> Column:

@@ -70,6 +70,9 @@ def html_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("html"))
 
 
+_HEADERS = frozenset(f"h{i}" for i in range(1, 5))
+
+
 class _Sections(HTMLParser):
     """Headers h1-h4 open a section; text of p, span and a is a line each, pre is fenced; images are listed."""
 
@@ -91,7 +94,7 @@ class _Sections(HTMLParser):
         if self.depth and tag == "img":
             self.images.append([given.get("src") or "", None])
             self.items.append(("img", given.get("src") or ""))
-        elif self.depth and tag in ("h1", "h2", "h3", "h4", "p", "span", "a", "pre", "figcaption"):
+        elif self.depth and (tag in _HEADERS or tag in ("p", "span", "a", "pre", "figcaption")):
             at = len(self.items)
             self.items.append((tag, ""))
             self.open.append((tag, [at, []]))
@@ -121,7 +124,7 @@ def split_html(html: str | None, tag: str = "article", attrs: dict[str, str] | N
     p.close()
     out: list[dict] = []
     for kind, text in p.items:
-        if kind in ("h1", "h2", "h3", "h4"):
+        if kind in _HEADERS:
             out.append({"header": text, "content": "", "images": []})
         elif out and kind == "pre":
             out[-1]["content"] += f"```{text.strip()}```\n"

@@ -54,8 +54,9 @@ def test_chunks(spark):
 
 
 def python_entities(text):
-    m = re.findall(r"^(\w+(?:\s+\w+)*)\s*->\s*([a-zA-Z\s]+?)\s*->\s*(\w+(?:\s+\w+)*)$", text, re.M | re.I)
-    return {x for s, _, o in m for x in (s, o)}
+    name, arrow = r"(\w+(?:\s+\w+)*)", r"\s*->\s*"
+    found = re.findall(f"^{name}{arrow}([a-zA-Z\\s]+?){arrow}{name}$", text, re.M | re.I)
+    return {x for s, _, o in found for x in (s, o)}
 
 
 @pytest.mark.parametrize("text", ["A b -> likes -> C", "X -> rel_1 -> Y", "a -> b -> c -> d", "Zoë -> knows\nof -> Ünal\nx -> y -> z", ""])
