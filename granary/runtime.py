@@ -8,7 +8,7 @@ the only copy of a result on one of them.
 from __future__ import annotations
 
 import contextlib
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -107,11 +107,17 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    root = Path(__file__).parent
-    path = os.path.join(tempfile.mkdtemp(prefix="granary-code-"), "granary-package.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    root, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
+    path = f"{shared_dir(spark)}/granary-{app}/granary-package.zip"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(at, True)
+    stream.write(data.getvalue())
+    stream.close()
+    fs.deleteOnExit(at)
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
