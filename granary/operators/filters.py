@@ -60,11 +60,14 @@ def _one(c: Column, op: str, value: object) -> Column:
 
 
 def condition(where: Where | Group | None, keys=F.col) -> Column:
-    """The filter as a Column that is never null. ``keys`` turns a key into a Column."""
+    """The filter as a Column; null counts as false, also under ``not``. ``keys`` turns a key into a Column.
+
+    Comparisons stay bare, so that Spark can push them into the scan.
+    """
     if where is None:
         return F.lit(True)
     if isinstance(where, Where):
-        return F.coalesce(_one(keys(where.key), where.op.lower(), where.value), F.lit(False))
+        return _one(keys(where.key), where.op.lower(), where.value)
     parts = [condition(p, keys) for p in where.parts]
     if not parts:
         return F.lit(True)
@@ -74,7 +77,7 @@ def condition(where: Where | Group | None, keys=F.col) -> Column:
         case "or":
             return reduce(lambda a, b: a | b, parts)
         case "not":
-            return ~reduce(lambda a, b: a | b, parts)
+            return ~F.coalesce(reduce(lambda a, b: a | b, parts), F.lit(False))
     raise ValueError(f"unknown group {where.how!r}")
 
 

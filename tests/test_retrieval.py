@@ -154,6 +154,12 @@ def test_filters(spark):
         check_search(True, a)
 
 
+def test_filters_reach_the_scan(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(condition(Group((Where("lang", "en"), Where("n_chars", 100, ">"))))).select("doc_id")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and "GreaterThan(n_chars,100)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
 def test_models(spark):
     d = spark.createDataFrame([("a b\nc",), (None,), ("",)], "t string")
     v = d.select(models.embedded(F.col("t"), models.hash_embedder(8)).alias("v"), models.chat(F.col("t")).alias("r")).collect()
