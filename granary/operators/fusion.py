@@ -53,9 +53,9 @@ def sparse_search(docs: DataFrame, queries: DataFrame, k: int, idf: bool = False
     d = docs.select("id", F.inline("sparse"))
     q = queries.select("query_id", F.inline("sparse")).select("query_id", "index", F.col("value").alias("asked"))
     if idf:
-        total = docs.agg(F.count("*").alias("total"))  # one row
-        n = d.join(q.select("index").distinct(), "index", "left_semi").groupBy("index").agg(F.countDistinct("id").alias("n")).join(F.broadcast(total))
-        weight = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1.0)
+        total = docs.count()
+        n = d.join(q.select("index").distinct(), "index", "left_semi").groupBy("index").agg(F.countDistinct("id").alias("n"))
+        weight = F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1.0)
         q = q.join(n, "index").select("query_id", "index", (F.col("asked") * weight).alias("asked"))
     scored = d.join(q, "index").groupBy("query_id", "id").agg(F.sum(F.col("value").cast("double") * F.col("asked").cast("double")).alias("score"))
     return ranked(scored, k).select("query_id", "id", "score", "rank")

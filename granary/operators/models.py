@@ -91,8 +91,8 @@ def latest(cache: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def put(cache: DataFrame, fresh: DataFrame, seq: str = "seq") -> DataFrame:
-    top = cache.agg(F.coalesce(F.max(seq), F.lit(0)).alias("_top"))  # one row
-    return cache.unionByName(fresh.join(F.broadcast(top)).withColumn(seq, F.col("_top") + 1).drop("_top").select(*cache.columns))
+    top = cache.agg(F.max(seq)).first()[0] or 0
+    return cache.unionByName(fresh.withColumn(seq, F.lit(top + 1).cast("long")).select(*cache.columns))
 
 
 def cache_key(params: Column) -> Column:

@@ -55,9 +55,12 @@ class Scratch:
     """Tables of one query in the shared folder; the file system drops them when the driver ends.
 
     ``table`` writes a DataFrame and returns it as read back: a retried or speculative
-    task can't change what later jobs see. ``drop`` frees a table that is not needed again.
+    task can't change what later jobs see. ``drop`` frees a table that is not needed again. Python
+    stages of the plan get Arrow batches of at most ``rows`` rows, as texts and sets can be long.
     """
 
+    rows = 2_000
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/granary-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -71,7 +74,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n}-{name}"
-        df.write.option("compression", codec).parquet(path)
+        with conf(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(self.rows)):
+            df.write.option("compression", codec).parquet(path)
         fs, p = self._fs(path)
         fs.deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
