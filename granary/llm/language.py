@@ -153,15 +153,9 @@ def fit(docs: DataFrame, label: str = "lang", bound: int = 1_500, mod: int = 4,
     return train([t.encode() for _, t, _ in rows], [r[2] for r in rows])
 
 
-_workers: dict[int, samples.WordTable] = {}
-
-
 def label_texts(model: Model, key: int, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Per text: language, its share of the words with a letter, and all shares."""
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = samples.WordTable(partial(emissions, model.weights), len(model.labels) + 1)
-    table = _workers[key]
+    table = W.worker_cache(("language", key), lambda: samples.WordTable(partial(emissions, model.weights), len(model.labels) + 1))
     words, starts = W.split_all(texts)
     e = table.matrix[r] if len(r := table.rows(words)) else np.zeros((0, len(model.labels) + 1), np.float32)
     shares = np.zeros((len(texts), max(1, len(model.labels))))

@@ -132,12 +132,9 @@ def matches(ids: np.ndarray, places: np.ndarray, hits: list[tuple[int, int, int]
     return sorted(kept, key=lambda r: (r[3], r[0]))
 
 
-_cache = PlainIds()
-
-
 def scan_texts(texts: list[bytes], index: Index, least: float) -> list[list[tuple[str, int, float, int, int]]]:
     words, starts = W.split_all(texts)
-    ids = _cache.array(words)
+    ids = W.worker_cache("licenses", PlainIds).array(words)
     real = np.flatnonzero(ids)
     plain = ids[real]
     bounds = np.searchsorted(real, starts)

@@ -56,6 +56,7 @@ def _set(bitmap: np.ndarray, p: np.ndarray) -> None:
 def _filters(batches, bits: int, min_chars: int):
     from pyspark import TaskContext
 
+    W.release()
     once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for b in W.slices(batches):
         found: list[int] = []
@@ -90,9 +91,11 @@ def twice_seen(docs: DataFrame, text: str = "text", bits: int = 1 << 26, min_cha
     schema = "slice int, part int, once binary, twice binary"
     level = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(partial(_filters, bits=bits, min_chars=min_chars), schema)
     width = docs.rdd.getNumPartitions()
-    while width > 1:
-        level = level.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+    while True:  # the last round leaves one row a slice, whatever the plan made of the partitions
+        level = level.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int") if width > FAN_IN else F.lit(0))
         level = level.groupBy("slice", "part").applyInArrow(_merge, schema)
+        if width <= FAN_IN:
+            break
         width = -(-width // FAN_IN)
     out = np.zeros(bits // 8, np.uint8)
     for r in level.select("slice", "twice").toLocalIterator():
@@ -202,8 +205,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", ident:
     key = F.xxhash64(F.col(ident).cast("long"), F.col(text).cast("string"))
     found = docs.select(F.col(text).cast("string").alias("text"), key.alias("doc_key")).mapInArrow(partial(_per_doc, shared=shared, bits=bits, min_chars=min_chars), "doc_key long, digest binary").distinct()
     per = found.join(hot, "digest").groupBy("doc_key").agg(F.collect_list(F.struct("digest", "first")).alias("_hot"))
-    per = per.select("doc_key", F.col("_hot.digest").alias("_digests"), F.col("_hot.first").alias("_firsts"))
-    joined = docs.withColumn("_doc_key", key).join(per, F.col("_doc_key") == F.col("doc_key"), "left").drop("_doc_key", "doc_key")
+    per = per.select(F.col("doc_key").alias("_per_key"), F.col("_hot.digest").alias("_digests"), F.col("_hot.first").alias("_firsts"))
+    joined = docs.withColumn("_doc_key", key).join(per, F.col("_doc_key") == F.col("_per_key"), "left").drop("_doc_key", "_per_key")
     return joined.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(step, schema)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary import runtime
+from granary.llm import words as W
 
 WEIGHTS = (5, 2, 1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -46,7 +47,8 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 
 def _sizes(batches):
-    for b in batches:
+    W.release()
+    for b in W.slices(batches, max_bytes=1_000_000):
         cols = dict(zip(b.schema.names, b.columns))
         cols["size"] = pa.array(word_counts(cols.pop("text")))
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -108,9 +110,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3,
 
 def _cut(batches, text: str):
     """Texts of repetitions: whole, or their first ``_words`` words."""
-    from granary.llm import words as W
-
-    for b in W.slices(batches, text):
+    for b in W.slices(batches, text, max_bytes=3_000_000):
         cols = dict(zip(b.schema.names, b.columns))
         least = cols.pop("_words").to_pylist()
         if any(n is not None for n in least):

@@ -70,6 +70,7 @@ def _first(batches, n: int):
     """Rows of kind 0: a text's class and bands; rows of kind 1: the task's sketch."""
     from pyspark import TaskContext
 
+    W.release()
     sketch = np.zeros(BUCKETS, np.int64)
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("hashes", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
     for b in W.slices(batches, max_bytes=BYTES):
@@ -96,8 +97,9 @@ def _add(t: pa.Table) -> pa.Table:
 def _sketch(first: DataFrame, parts: int) -> np.ndarray:
     """The corpus's token counts by bucket, merged with bounded fan-in: ``BUCKETS`` numbers whatever the input."""
     level = first.filter("kind = 1").select(F.col("doc_id").alias("slice"), "part", "counts")
-    while True:
-        level = level.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInArrow(_add, "slice long, part int, counts binary")
+    while True:  # the last round leaves one row a slice, whatever the plan made of the partitions
+        group = F.floor(F.col("part") / FAN_IN).cast("int") if parts > FAN_IN else F.lit(0)
+        level = level.withColumn("part", group).groupBy("slice", "part").applyInArrow(_add, "slice long, part int, counts binary")
         if parts <= FAN_IN:
             break
         parts = -(-parts // FAN_IN)
@@ -348,8 +350,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         sets = own.join(keys, "text_key", "left_semi").select("text", "text_key").mapInArrow(partial(_sets, n=n), "class_key binary, tokens binary")
     held = sets.hint("merge").join(wanted.drop("text_key"), "class_key").select("u", "v", "mode", "side", "class_key", "docs", "tokens")
     held = held.repartition("u", "v", "mode").sortWithinPartitions("u", "v", "mode")
-    with runtime.conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
-        links = scratch.table(held.mapInArrow(partial(_verify, percent=percent), "class_key binary, root binary, n long"), "links")
+    links = scratch.table(held.mapInArrow(partial(_verify, percent=percent), "class_key binary, root binary, n long"), "links")
 
     parts_of = connected_components(links, scratch, "class_key", "root")
     count = links.groupBy("class_key").agg(F.sum("n").alias("others"))

@@ -129,7 +129,7 @@ class WordTokens(dict):
     go to the merges directly, and of its marks. All other words take the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, bound: int = 800_000):
         super().__init__()
         self.tokenizer, self.bound = _tokenizer(path), bound
         self.model = self.tokenizer.model
@@ -161,12 +161,9 @@ class WordTokens(dict):
         return ids
 
 
-#: One cache a worker process and vocabulary; a vocabulary that drops white space encodes word by word.
-_caches: dict[str, WordTokens] = {}
-
-
 def token_bytes(text: bytes, path: str) -> bytes:
-    cache = _caches.get(path) or _caches.setdefault(path, WordTokens(path))
+    """Ids of a text by a vocabulary that drops white space, so that each word is encoded on its own."""
+    cache = W.worker_cache(("tokens", path), lambda: WordTokens(path))
     return b"".join(map(cache.__getitem__, text.split()))
 
 

@@ -173,26 +173,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     return train([t.encode() for _, t, _ in rows], np.array([float(r[2]) for r in rows]))
 
 
-_workers: dict[int, tuple[samples.WordTable, W.WordIds]] = {}
-
-
 def score_texts(model: Model, key: int, texts: list[bytes]) -> np.ndarray:
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = samples.WordTable(lambda ws: model.table[_hashed(ws)].sum(axis=1), WIDTH), W.WordIds(300_000)
-    table, ids = _workers[key]
+    table = W.worker_cache(("quality", key), lambda: samples.WordTable(lambda ws: model.table[_hashed(ws)].sum(axis=1), WIDTH, 200_000))
     words, starts = W.split_all(texts)
+    ids, _ = W.hash_words(pa.array(texts, pa.binary()))
     begin, of = passages(starts)
     rows = table.rows(words)
     n = np.maximum(np.diff(begin), 1)
-    x = np.concatenate([samples.sums(table.matrix[rows], begin) / n[:, None], extras(words, ids.array(words), starts, begin)], axis=1)
+    x = np.concatenate([samples.sums(table.matrix[rows], begin) / n[:, None], extras(words, ids, starts, begin)], axis=1)
     return model.forward(x.astype(np.float32), of)["p"].astype(np.float64)
 
 
 def _score(batches, shared, key: int, mod: int, rest: int):
     import zlib
 
-    for b in W.slices(batches):
+    for b in W.slices(batches, max_bytes=1_000_000):
         ids = b.column(0).to_pylist()
         s = score_texts(shared.value, key, W.raw(b.column(1)))
         held = [i is not None and zlib.crc32(str(i).encode()) % mod == rest for i in ids]
@@ -200,7 +195,7 @@ def _score(batches, shared, key: int, mod: int, rest: int):
 
 
 def _keep(batches, shared, key: int, least: float, text: str):
-    for b in W.slices(batches, text):
+    for b in W.slices(batches, text, max_bytes=1_000_000):
         s = score_texts(shared.value, key, W.raw(b.column(b.schema.get_field_index(text)).cast(pa.string())))
         yield b.filter(pa.array(s >= least))
 

@@ -176,13 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     return grow(np.concatenate(x), np.array([float(r[2]) for r in rows]))
 
 
-_cache = W.WordIds()
-
-
 def _score(batches, shared, least: float):
     trees = shared.value
     for b in W.slices(batches):
-        base, x = statistics(W.raw(b.column(1)), _cache)
+        base, x = statistics(W.raw(b.column(1)), W.worker_cache("rules", W.WordIds))
         score = trees.score(x)
         n, repeat = base[:, 0], base[:, 4]
         failed = (n < 10) | (100 * repeat > 20 * n)

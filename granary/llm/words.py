@@ -6,6 +6,8 @@ yields, so no regular expression runs over the corpus.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,8 +36,41 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc: there is nothing to trim
+
+    def _trim(_: int) -> int:
+        return 0
+
+
+_live: dict[object, object] = {}
+
+
+def worker_cache(name: object, make):
+    """What ``make`` made under this name in this worker process; a new name drops all others.
+
+    So a reused worker holds the caches of one operator, whatever ran in it before.
+    """
+    if name not in _live:
+        _live.clear()
+        gc.collect()
+        _live[name] = make()
+    return _live[name]
+
+
+def release() -> None:
+    """Drops what this worker process holds for other operators."""
+    if _live:
+        _live.clear()
+        gc.collect()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a slice holds about ``max_bytes`` of text (one text at least)."""
+    """Cuts batches so that a slice holds about ``max_bytes`` of text (one text at least).
+
+    At the end of a task freed memory goes back to the system, as reused workers live long.
+    """
     for b in batches:
         if not b.num_rows:
             continue
@@ -48,6 +83,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
         for lo, hi in zip(edges, edges[1:]):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+    _trim(0)
 
 
 def raw(column: pa.Array) -> list[bytes]:
