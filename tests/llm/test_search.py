@@ -136,6 +136,32 @@ def test_fenwick_chain_against_all_predecessors():
         assert value == pytest.approx(brute_chain(pos, opos, 5, 10**6, S.COST)) or len(top) == len(pos)
 
 
+def test_chain_within_the_gap_against_all_predecessors():
+    r = random.Random(5)
+    for case in range(300):
+        a = set()
+        for _ in range(r.randrange(1, 6)):  # passages far apart, on diagonals of their own
+            p, o = r.randrange(400), r.randrange(400)
+            a |= {(p + 5 * i + r.randrange(3), o + 5 * i + r.randrange(3)) for i in range(r.randrange(1, 12))}
+        a = sorted(a)
+        pos, opos = np.array([x[0] for x in a]), np.array([x[1] for x in a])
+        gap = r.choice([7, 40, 41])
+        top = S.chain(pos, opos, gap=gap)
+        assert sorted(i for c in top for i in c.tolist()) == list(range(len(a)))
+        for c in top:
+            dp, do = np.diff(pos[c]), np.diff(opos[c])
+            assert ((dp > 0) & (do > 0) & (dp <= gap) & (do <= gap)).all()
+        value = max(5 * len(c) - S.COST * (pos[c[-1]] - pos[c[0]] + opos[c[-1]] - opos[c[0]]) for c in top)
+        assert value == pytest.approx(brute_chain(pos, opos, 5, gap, S.COST)), case
+
+
+def test_chain_after_a_long_one():
+    one = np.arange(0, 300, 5)
+    pos, opos = np.concatenate([[0], one, one[:12] + 900]), np.concatenate([[295], one, one[:12] + 1200])
+    order = np.lexsort((opos, pos))
+    assert sorted(len(c) for c in S.chain(pos[order], opos[order])) == [1, 12, 60]
+
+
 def test_align_counts_words():
     a, b = np.arange(100, dtype=np.uint32), np.arange(100, dtype=np.uint32)
     b = np.delete(b, 40)
