@@ -169,6 +169,39 @@ def test_align_counts_words():
     assert S.align(a, b, np.array([5, 30, 0, 50, 60, 1])) == (0, 97, 0, 96, 95)  # 32 words past the last anchor at most
 
 
+@pytest.mark.parametrize("parts,want", [
+    ([50, -30, 50], [(0, 50, 50), (80, 130, 50)]),  # 77 % in all
+    ([51, -25, 5], [(0, 51, 51)]),
+    ([60, -20, 60], [(0, 140, 120)]),
+    ([30, -1, 30, -40, 47], [(0, 61, 60)]),
+])
+def test_passages_beside_other_words(spark, parts, want):
+    r = random.Random(8)
+    one, two = words(r, 20), words(r, 25)
+    for i, n in enumerate(parts):
+        shared = [f"s{i}x{j}" for j in range(abs(n))]
+        one += shared if n > 0 else [f"a{w}" for w in shared]
+        two += shared if n > 0 else [f"b{w}" for w in shared]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    got = sorted((x["other_first"] - 20, x["other_end"] - 20, x["matched"], x["first_word"] - 25, x["end_word"] - 25) for x in S.repeated_passages(spark, df).collect())
+    assert got == [(a, b, n, a, b) for a, b, n in want]
+
+
+def test_stretches_against_all():
+    r = random.Random(9)
+    for _ in range(200):
+        p, o = (np.cumsum([r.choice([1, 1, 1, 1, 1, 2, 4]) for _ in range(30)]) for _ in "ab")
+        good = lambda i, j: min(p[j - 1] - p[i], o[j - 1] - o[i]) + 1 >= 8 and 100 * (j - i) >= 80 * (max(p[j - 1] - p[i], o[j - 1] - o[i]) + 1)
+        got = S.stretches(p, o, 8, 80)
+        assert all(good(i, j) for i, j in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        span = lambda i, j: max(p[j - 1] - p[i], o[j - 1] - o[i]) + 1
+        assert max((span(i, j) for i, j in got), default=0) == max((span(i, j) for i in range(30) for j in range(i + 1, 31) if good(i, j)), default=0)
+        free = np.ones(30, bool)
+        for i, j in got:
+            free[i:j] = False
+        assert not any(good(i, j) and free[i:j].all() for i in range(30) for j in range(i + 1, 31))
+
+
 def local(text, template):
     """Matched words of the best local alignment, over all places."""
     best, row = (0, 0), [(0, 0)] * (len(template) + 1)
