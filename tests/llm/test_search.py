@@ -187,6 +187,21 @@ def test_passages_beside_other_words(spark, parts, want):
     assert got == [(a, b, n, a, b) for a, b, n in want]
 
 
+@pytest.mark.parametrize("part", [30, 26])
+def test_passages_of_hot_parts(spark, part):
+    """Texts 10 and 30 share two hot parts in a row; others hold one of the parts, before and between."""
+    for seed in range(3):
+        r = random.Random(seed)
+        parts = [[f"p{i}x{j}" for j in range(part)] for i in range(2)]
+        rows = []
+        for i in range(40):
+            own = parts[0] + parts[1] if i in (10, 30) else parts[r.randrange(2)] if i not in (0, 1) else parts[i]
+            rows.append((i, " ".join(words(r, 40) + own + words(r, 40))))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {(x["doc_id"], x["other_id"]): (x["first_word"], x["end_word"], x["matched"]) for x in S.repeated_passages(spark, df).collect()}
+        assert got == {(30, 10): (40, 40 + 2 * part, 2 * part)}
+
+
 def test_stretches_against_all():
     r = random.Random(9)
     for _ in range(200):
