@@ -1,9 +1,9 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License scans: winnowed fingerprints pick candidates, alignment confirms them.
 
 Templates are few and fixed, so their fingerprints form a small inverted index that is broadcast
 (its size depends on the templates alone). A text's fingerprints are looked up a batch at a time;
-only texts with enough hits of one template near one diagonal are candidates, and a local alignment within a band around them gives the matched words, the share of the template
-that is covered, and the span in the text.
+only texts with enough hits of one template in a stretch are candidates, and a local alignment of
+the stretch gives the matched words, the share of the template that is covered, and the span in the text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from granary import runtime
 from granary.llm import words as W
 
-#: Short notices and the openings of well-known public license texts.
+#: Short notices, and the openings and warranty parts of well-known public license texts.
 TEMPLATES: dict[str, str] = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -34,9 +34,15 @@ TEMPLATES: dict[str, str] = {
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 
-GRAM, WINDOW, BAND = 2, 2, 6
+GRAM, WINDOW = 2, 2
+#: Words that may stand between two parts of a template, and what they cost at most.
+INSERT, JUMP = 200, 6
+_ONE, _SAME = 1 << 40, (2 << 40) + (1 << 24)
 _STRIP = b".,;:!?()[]{}\"'`<>*#|%$&~_-/\\"
 
 
@@ -76,54 +82,55 @@ class Index:
         self.need = np.maximum(1, np.bincount(self.template, minlength=len(self.names)) // 5)
 
 
-def align(text: np.ndarray, lo: int, hi: int, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment (match 2, mismatch -1, gap -1) within ``band`` of a diagonal.
+def align(text: np.ndarray, lo: int, hi: int, template: np.ndarray, jump: bool = False) -> tuple[int, int, int]:
+    """Best local alignment (match 2, mismatch -1, gap -1) of text[lo:hi]; ``jump``: words added to the text in a row cost ``JUMP`` at most.
 
-    Returns matched words and the span [from, to) in the text; ties go to the earliest end.
+    Returns matched words and the span [from, to) in the text; ties go to the earliest end. A cell
+    is one number: the score, then the matched words, then the start, from ``lo`` on.
     """
-    best, n, width = (0, 0, 0, 0), len(template), 2 * band + 1
-    score, got, start = [0] * width, [0] * width, [0] * width
+    n = len(template)
+    steps = np.arange(n, dtype=np.int64) * _ONE
+    row, far = np.zeros(n + 1, np.int64), np.full(n + 1, -(1 << 60), np.int64)
+    best, end = 0, lo
     for i in range(lo, hi):
-        new_s, new_g, new_b = [0] * width, [0] * width, [0] * width
-        for k in range(width):
-            j = i - diagonal + k - band
-            if not 0 <= j < n:
-                continue
-            same = text[i] == template[j]
-            s, g, b = score[k] + (2 if same else -1), got[k] + same, start[k] if score[k] > 0 else i
-            if k + 1 < width and score[k + 1] - 1 > s:
-                s, g, b = score[k + 1] - 1, got[k + 1], start[k + 1]
-            if k and new_s[k - 1] - 1 > s:
-                s, g, b = new_s[k - 1] - 1, new_g[k - 1], new_b[k - 1]
-            if s > 0:
-                new_s[k], new_g[k], new_b[k] = s, g, b
-                if s > best[0]:
-                    best = (s, int(g), b, i + 1)
-        score, got, start = new_s, new_g, new_b
-    return best[1:]
+        old = np.where(row < _ONE, i - lo, row)  # nothing so far: an alignment may start here
+        new = np.maximum(old[:-1] + np.where(template == text[i], _SAME, -_ONE), old[1:] - _ONE)
+        if jump:
+            new = np.maximum(new, far[1:])
+            far = np.maximum(far, row - JUMP * _ONE)
+        new = np.maximum.accumulate(new + steps) - steps
+        row[1:] = new
+        top = int(new.max())
+        if top >> 24 > best >> 24:
+            best, end = top, i + 1
+    return (best >> 24) & 0xFFFF, lo + (best & 0xFFFFFF), end
 
 
 def matches(ids: np.ndarray, places: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float) -> list[tuple[str, int, float, int, int]]:
-    """(license, matched words, coverage, first word, end word) of one text; of overlapping spans the one with more matched words stays."""
-    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for place, t, j in hits:
-        by[t].append((place - j, place))
+    """(license, matched words, coverage, first word, end word) of one text; of overlapping spans the one with more matched words stays.
+
+    Of the hits (place, template, stretch), a stretch is aligned as it stands, then what is left of it with jumps over added words.
+    """
+    by: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for place, t, stretch in hits:
+        by[t, stretch].append(place)
     found = []
-    for t, seeds in by.items():
-        template = index.words[t]
-        seeds.sort(key=lambda s: s[1])
-        groups: list[list[tuple[int, int]]] = []
-        for s in seeds:
-            if groups and abs(s[0] - groups[-1][0][0]) <= BAND and s[1] - groups[-1][-1][1] <= len(template):
-                groups[-1].append(s)
-            else:
-                groups.append([s])
-        for g in groups:
-            d = int(np.median([s[0] for s in g]))
-            lo, hi = max(0, d - BAND), min(len(ids), d + len(template) + BAND)
-            n, a, b = align(ids, lo, hi, template, d, BAND)
-            if n and n / len(template) >= least:
-                found.append((index.names[t], n, n / len(template), int(places[a]), int(places[b - 1]) + 1))
+    for (t, _), at in by.items():
+        template, at = index.words[t], np.array(sorted(at))
+        todo = [(max(0, int(at[0]) - len(template)), min(len(ids), int(at[-1]) + GRAM + len(template)))]
+        for jump in (False, True):
+            rest = []
+            while todo:
+                lo, hi = todo.pop()
+                if ((at >= lo) & (at + GRAM <= hi)).sum() < index.need[t] or hi - lo < least * len(template):
+                    continue
+                n, a, b = align(ids, lo, hi, template, jump)
+                if n and n / len(template) >= least:
+                    found.append((index.names[t], n, n / len(template), int(places[a]), int(places[b - 1]) + 1))
+                    todo += [(lo, a), (b, hi)]
+                else:
+                    rest.append((lo, hi))
+            todo = rest
     found.sort(key=lambda r: (-r[1], r[3], r[0]))
     kept: list[tuple[str, int, float, int, int]] = []
     for r in found:
@@ -150,19 +157,19 @@ def scan_texts(texts: list[bytes], index: Index, least: float) -> list[list[tupl
     n = (index.end - index.begin)[at[hit]]
     row = np.repeat(index.begin[at[hit]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     hit, doc = np.repeat(hit, n), np.repeat(doc, n)
-    template, diagonal = index.template[row], hit - bounds[doc] - index.place[row]
-    # Hits that lie within two neighbouring stripes of diagonals must be enough for the template.
-    ok = np.zeros(len(hit), bool)
-    for shift in (0, BAND):
-        stripe = (diagonal + shift + len(plain)) // (2 * BAND)
-        key = (doc * len(index.names) + template) * (len(plain) // BAND + 8) + stripe
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        ok |= count[back] >= index.need[template]
-    hit, doc, row = hit[ok], doc[ok], row[ok]
+    template = index.template[row]
+    # The hits of a template with at most INSERT words between them must be enough for it.
+    order = np.lexsort((hit, template, doc))
+    hit, doc, template = hit[order], doc[order], template[order]
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(template) != 0) | (np.diff(hit) > INSERT)
+    stretch = np.cumsum(new) - 1
+    ok = np.bincount(stretch)[stretch] >= index.need[template] if len(hit) else new
+    hit, doc, template, stretch = hit[ok], doc[ok], template[ok], stretch[ok]
     for d in np.unique(doc).tolist():
         a, b = int(bounds[d]), int(bounds[d + 1])
         own = doc == d
-        rows = [(p - a, int(index.template[r]), int(index.place[r])) for p, r in zip(hit[own].tolist(), row[own].tolist())]
+        rows = [(p - a, t, g) for p, t, g in zip(hit[own].tolist(), template[own].tolist(), stretch[own].tolist())]
         out[d] = matches(plain[a:b], real[a:b] - starts[d], rows, index, least)
     return out
 
@@ -178,7 +185,8 @@ def _scan(batches, shared, least: float):
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = 0.75, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """doc_id, license, matched (words), coverage (of the template) and the span [first_word, end_word).
 
-    One row for each place where at least ``least`` of a template aligns; where such spans overlap,
+    One row for each place where at least ``least`` of a template aligns, in order, with up to 200
+    words added between two parts of it; where such spans overlap,
     the one with most matched words stays (then the earlier, then the name that sorts first). Words
     are compared in lower case and without punctuation at their ends. Null or empty texts have no
     rows; a null id stays null; repeated rows are scanned each; only the two named columns are read.

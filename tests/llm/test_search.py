@@ -246,6 +246,26 @@ def test_licenses_against_full_alignment():
         assert 28 <= lo <= 31 and 30 + len(own) - 1 <= hi <= 30 + len(own) + 1
 
 
+@pytest.mark.parametrize("cuts", [(2,), (3, 3), (6,) * 5])
+@pytest.mark.parametrize("more", [7, 20, 90])
+def test_licenses_with_added_words(cuts, more):
+    r = random.Random(7)
+    index = L.Index(L.TEMPLATES)
+    for name in ("mit", "bsd-2-clause", "gpl-header"):
+        own, size = L.TEMPLATES[name].split(), len(L.TEMPLATES[name].split())
+        for i in range(len(cuts), 0, -1):
+            at = size * i // (len(cuts) + 1)
+            own[at:at] = words(r, more)
+        got = L.scan_texts([" ".join(words(r, 300) + own + words(r, 300)).encode()], index, 0.75)[0]
+        assert [(g[0], g[2] > 0.95, abs(g[3] - 300) < 3, abs(g[4] - 300 - len(own)) < 3) for g in got] == [(name, True, True, True)]
+
+
+def test_licenses_twice_and_warranty_alone():
+    index = L.Index(L.TEMPLATES)
+    text = f"{L.TEMPLATES['isc']} and {L.TEMPLATES['isc']} so {L.TEMPLATES['mit-warranty']}"
+    assert [g[0] for g in L.scan_texts([text.encode()], index, 0.75)[0]] == ["isc", "isc", "mit-warranty"]
+
+
 def test_licenses_odd(spark, odd, nothing):
     assert L.scan_licenses(spark, odd).collect() == [] and L.scan_licenses(spark, nothing).collect() == []
     more = spark.createDataFrame([(1, "x y\nAll Rights Reserved.\nz"), (2, None), (3, "Licensed under CC BY-NC 4.0. Released under the MIT License.")], "doc_id long, text string")
