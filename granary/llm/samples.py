@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary import runtime
 
 
 def held_out(ident: str, mod: int, rest: int) -> Column:
@@ -13,19 +14,43 @@ def held_out(ident: str, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string")) % mod == rest, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, mod: int, rest: int, max_chars: int = 200_000, text: str = "text", ident: str = "doc_id") -> list[tuple[int, str, object]]:
+def mark(*columns: str) -> Column:
+    """A hash of the columns, even over 0 .. 2^53 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11)
+
+
+def share(part: float) -> int:
+    """The number below which ``part`` of all marks lie."""
+    return int(min(1.0, part) * 2**53)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, mod: int, rest: int, total: int = 40_000_000, text: str = "text", ident: str = "doc_id") -> list[tuple[int, str, object]]:
     """At most ``bound`` (id, text, label) rows whose ids are not held out, in the order of a hash of the id.
 
-    Rows without label or id, and texts over ``max_chars`` characters, are not drawn. Of several
-    labels or texts of one id the largest label and the smallest text count.
+    Rows without label or id are not drawn. Of several labels or texts of one id the largest label
+    and the smallest text count. Texts are whole; those that don't fit in what the texts before
+    leave of ``total`` characters are passed over, which bounds the sample as ``bound`` does.
     """
-    order = F.xxhash64("doc_id")
     own = labels.select(F.col(ident).cast("long").alias("doc_id"), F.col(label).alias("label"))
     own = own.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, rest))
-    own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(bound)
-    texts = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).collect()
-    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
+    # Twice what is wanted passes the threshold, so only that much is grouped and ordered.
+    known = own.agg(F.approx_count_distinct("doc_id")).first()[0]
+    if known > 2 * bound:
+        own = own.filter(mark("doc_id") < share(2 * bound / known))
+    own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(mark("doc_id"), "doc_id").limit(bound)
+    texts = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    scratch = runtime.Scratch(docs.sparkSession)
+    rows = scratch.table(texts.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), "sample")
+    fit, left = [], total
+    sizes = rows.select("doc_id", F.length("text").alias("n"), mark("doc_id").alias("mark")).collect()
+    for r in sorted(sizes, key=lambda r: (r["mark"], r["doc_id"])):
+        if r["n"] <= left:
+            fit.append(r["doc_id"])
+            left -= r["n"]
+    drawn = rows if len(fit) == len(sizes) else rows.filter(F.col("doc_id").isin(fit))
+    out = sorted((r["doc_id"], r["text"], r["label"]) for r in drawn.collect())
+    scratch.drop(rows)
+    return out
 
 
 class WordTable(dict):
