@@ -28,7 +28,7 @@ def test_odd_vectors(spark):
     rows = [(i, [float(x) for x in rng.standard_normal(8)], "x") for i in range(300)]
     rows += [(i, rows[0][1], "copy") for i in range(300, 400)] + [(400, None, ""), (401, [0.0] * 8, ""), (402, [None] + [1.0] * 7, ""), (403, [float("nan")] + [1.0] * 7, ""), (404, [float("inf")] + [1.0] * 7, ""), (405, [1.0], ""), (None, rows[1][1], ""), (7, rows[7][1], "again")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string").repartition(3)
-    out = A.nearest(spark, df, df.filter("vec_id % 20 = 0"), k=20, list_size=40, block=64, target=1.0).collect()
+    out = A.nearest(spark, df, df.filter("vec_id % 20 = 0"), k=20, block=64, target=1.0).collect()
     good = df.dropDuplicates(["vec_id"]).filter("vec_id < 400")
     want = A.exact(good, good.filter("vec_id % 20 = 0"))
     by = {(q, r): i for q, r, i, _ in want}
@@ -51,11 +51,67 @@ def test_larger_norms_first(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(6) * rng.uniform(0.1, 5)]) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["vec_id"]) for r in A.nearest(spark, df, df.filter("vec_id % 20 = 0"), k=10, list_size=50).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in A.nearest(spark, df, df.filter("vec_id % 20 = 0"), k=10).collect()}
     want = {(q, i) for q, _, i, _ in A.exact(df, df.filter("vec_id % 20 = 0"), 10)}
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_lists_are_pruned(n):
+    """Several lists at every size, less than the whole scored, nine of ten neighbours in the lists opened."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    router = A.build(v, 1.0, n, 8.0, 0.2, 0.94, 20)
+    assert len(router.centroids) >= 100
+    row, lst = router.members(router.lift(v, False))
+    assert np.unique(row).tolist() == list(range(n)) and len(row) < 1.3 * n
+    asks = np.arange(0, n, 20)
+    opened = router.within(router.lift(v[asks], True), router.open_ratio)
+    scored = (opened * np.bincount(lst, minlength=opened.shape[1])).sum(axis=1).mean() / n
+    dots = v[asks] @ v.T
+    dots[np.arange(len(asks)), asks] = -np.inf
+    met = [np.isin(np.argsort(-dots[i])[:20], row[opened[i][lst]]).mean() for i in range(len(asks))]
+    assert np.mean(met) >= 0.9 and scored < {500: 0.7, 2000: 0.5}[n]
+
+
+def test_graph_search_against_all_centroids():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((3000, 16))
+    router = A.build(v, float(np.sqrt((v * v).sum(axis=1).max())), 3000, 8.0, 0.2, 0.94, 20)
+    x = router.lift(v[:300], False)
+    d = np.sqrt(((x[:, None, :] - router.centroids[None]) ** 2).sum(axis=2))
+    at, far = router.nearest(x)
+    assert np.mean(at[:, 0] == d.argmin(axis=1)) > 0.85 and np.allclose(np.take_along_axis(d, at, axis=1), far)
+    want = d <= np.sort(d, axis=1)[:, A.ANCHOR - 1 : A.ANCHOR] * 1.1
+    assert (router.within(x, 1.1) & ~want).sum() < 0.02 * want.sum() and (router.within(x, 1.1) & want).sum() > 0.95 * want.sum()
+
+
+def test_groups_hold_bounded_lists():
+    sizes = np.array([3, 5, 0, 9, 40, 2, 2, 11, 10])
+    first, count = A.groups(sizes, 10)
+    held = defaultdict(int)
+    for n, f, c in zip(sizes.tolist(), first.tolist(), count.tolist()):
+        assert c == max(1, -(-n // 10))
+        for i in range(c):
+            held[f + i] += n / c
+    assert max(held.values()) <= 10 and first.tolist() == [0, 0, 0, 1, 2, 6, 6, 7, 9]
+
+
+def test_repeated_ids_count_once(spark):
+    """A hot id with many vectors and copies, a third of all vectors equal: the neighbours are distinct ids, as by brute force."""
+    rng = np.random.default_rng(5)
+    v = lambda: [float(x) for x in rng.standard_normal(8)]
+    rows = [(i, v()) for i in range(200)] + [(7, [x * 1.5 for x in v()]) for _ in range(60)]
+    rows += [(7, rows[7][1])] * 25 + [(1000 + i, rows[3][1]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asks = df.filter("vec_id % 20 = 0 OR vec_id = 7").dropDuplicates(["vec_id"])
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in A.nearest(spark, df, asks, block=32, target=1.0, asks=5).collect())
+    want = sorted(x[:3] for x in A.exact(df, asks))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.mean([g == w for g, w in zip(got, want)]) > 0.95
+    assert len({(q, i) for q, _, i in got}) == len(got)
+
+
 def words(r, n):
     return [f"w{r.randrange(3000)}" for _ in range(n)]
 
