@@ -52,19 +52,20 @@ def extras(words: list[bytes], ids: np.ndarray, starts: np.ndarray, begin: np.nd
     n = np.maximum(np.diff(begin), 1)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts)).astype(np.uint64)
     again, echo = np.zeros(len(ids)), np.zeros(len(ids))
-    if len(ids) > 1:
-        echo[1:] = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
-        pair = W.mix(ids[:-1] * W._MULT[1] + ids[1:] * W._MULT[2] + doc[:-1])
+    inside = np.flatnonzero(doc[1:] == doc[:-1])  # places whose next word is of the same text
+    if len(inside):
+        echo[inside + 1] = ids[inside + 1] == ids[inside]
+        pair = W.mix(ids[inside] * W._MULT[1] + ids[inside + 1] * W._MULT[2] + doc[inside] * W._MULT[4])
         order = np.argsort(pair, kind="stable")
         same = pair[order][1:] == pair[order][:-1]
-        again[order[1:][same]] = 1.0
+        again[inside[order[1:][same]]] = 1.0
     place = np.repeat(np.arange(len(n)), np.diff(begin)).astype(np.uint64)
     own = W.mix(ids + place * W._MULT[3])
     order = np.argsort(own, kind="stable")
     near = np.zeros(len(ids))
     near[order[1:][own[order][1:] == own[order][:-1]]] = 1.0
     length = np.fromiter(map(len, words), np.float64, len(words))
-    return np.stack([samples.sums(again, begin) / n, samples.sums(near, begin) / n, samples.sums(echo, begin) / n, samples.sums(length, begin) / n / 10, n / PASSAGE], axis=1).astype(np.float32)
+    return np.stack([samples.sums(again, begin) / n, samples.sums(near, begin) / n, samples.sums(echo, begin) / n, samples.sums(length, begin) / n / 10, n / PASSAGE], axis=1)
 
 
 @dataclass
@@ -78,6 +79,10 @@ class Model:
     c: np.ndarray  # HIDDEN
     b: np.ndarray  # 1
 
+    def double(self) -> Model:
+        """The same weights in double precision but for the table, which is only summed."""
+        return Model(self.table, *(getattr(self, k).astype(np.float64) for k in ("w1", "b1", "v", "u", "a", "c", "b")))
+
     def forward(self, x: np.ndarray, of: np.ndarray) -> dict:
         """Scores from passage encodings; a document without passages gets the bias alone."""
         n = np.diff(of)
@@ -95,6 +100,23 @@ class Model:
         return {"h": h, "t": t, "g": g, "w": w, "z": z, "doc": doc, "p": 1 / (1 + np.exp(-np.clip(z @ self.c + self.b, -30, 30)))}
 
 
+def gradient(m: Model, r: dict, x: np.ndarray, of: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of the mean log loss with regard to the weights, and to the passage encodings ``x``."""
+    d = ((r["p"] - y) / len(y)).astype(x.dtype)
+    grad = {"b": d.sum(keepdims=True), "c": r["z"].T @ d}
+    dz = d[:, None] * m.c
+    dw = (r["h"] * dz[r["doc"]]).sum(axis=1)
+    de = r["w"] * (dw - samples.sums(r["w"] * dw, of)[r["doc"]])
+    tg = r["t"] * r["g"]
+    grad["a"] = tg.T @ de
+    dtg = de[:, None] * m.a
+    dt, du = dtg * r["g"] * (1 - r["t"] ** 2), dtg * r["t"] * r["g"] * (1 - r["g"])
+    grad["v"], grad["u"] = r["h"].T @ dt, r["h"].T @ du
+    dh = (dz[r["doc"]] * r["w"][:, None] + dt @ m.v.T + du @ m.u.T) * (1 - r["h"] ** 2)
+    grad["w1"], grad["b1"] = x.T @ dh, dh.sum(axis=0)
+    return grad, dh @ m.w1.T
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, rate: float = 0.01, l2: float = 1e-5, seed: int = 3) -> Model:
     """Adam on the log loss; a sample without both classes leaves the smoothed prior as the score."""
     rng = np.random.default_rng(seed)
@@ -117,7 +139,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, ra
                 index[w] = len(feats)
                 feats.append(_features(w))
             rows.append(index[w])
-        docs.append((np.array(rows, np.int64), np.diff(begin), extras(words, cache.array(words), starts, begin)))
+        docs.append((np.array(rows, np.int64), np.diff(begin), extras(words, cache.array(words), starts, begin).astype(np.float32)))
     hashed = np.array(feats, dtype=np.int64).reshape(-1, 4)
     names = ("table", "w1", "b1", "v", "u", "a", "c", "b")
     mean, square = ({k: np.zeros_like(getattr(m, k)) for k in names} for _ in range(2))
@@ -135,19 +157,8 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, ra
             vectors = m.table[hashed[uniq]].sum(axis=1)
             x = np.concatenate([samples.sums(vectors[back], begin) / n[:, None], np.concatenate([docs[i][2] for i in own])], axis=1)
             r = m.forward(x, of)
-            d = ((r["p"] - y[own]) / len(own)).astype(np.float32)
-            grad = {"b": d.sum(keepdims=True), "c": r["z"].T @ d}
-            dz = d[:, None] * m.c
-            dw = (r["h"] * dz[r["doc"]]).sum(axis=1)
-            de = r["w"] * (dw - samples.sums(r["w"] * dw, of)[r["doc"]])
-            tg = r["t"] * r["g"]
-            grad["a"] = tg.T @ de
-            dtg = de[:, None] * m.a
-            dt, du = dtg * r["g"] * (1 - r["t"] ** 2), dtg * r["t"] * r["g"] * (1 - r["g"])
-            grad["v"], grad["u"] = r["h"].T @ dt, r["h"].T @ du
-            dh = (dz[r["doc"]] * r["w"][:, None] + dt @ m.v.T + du @ m.u.T) * (1 - r["h"] ** 2)
-            grad["w1"], grad["b1"] = x.T @ dh, dh.sum(axis=0)
-            dx = (dh @ m.w1.T)[:, :WIDTH] / n[:, None]
+            grad, dv = gradient(m, r, x, of, y[own])
+            dx = dv[:, :WIDTH] / n[:, None]
             share = np.repeat(np.arange(len(n)), n)
             dv = np.zeros((len(uniq), WIDTH), np.float32)
             order = np.argsort(back, kind="stable")
@@ -174,14 +185,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 
 def score_texts(model: Model, key: int, texts: list[bytes]) -> np.ndarray:
-    table = W.worker_cache(("quality", key), lambda: samples.WordTable(lambda ws: model.table[_hashed(ws)].sum(axis=1), WIDTH, 200_000))
+    """A score is a function of the text alone: in double precision and rounded, what shares its batch doesn't show."""
+    table, wide = W.worker_cache(("quality", key), lambda: (samples.WordTable(lambda ws: model.table[_hashed(ws)].sum(axis=1), WIDTH, 200_000), model.double()))
     words, starts = W.split_all(texts)
     ids, _ = W.hash_words(pa.array(texts, pa.binary()))
     begin, of = passages(starts)
     rows = table.rows(words)
     n = np.maximum(np.diff(begin), 1)
     x = np.concatenate([samples.sums(table.matrix[rows], begin) / n[:, None], extras(words, ids, starts, begin)], axis=1)
-    return model.forward(x.astype(np.float32), of)["p"].astype(np.float64)
+    return np.round(wide.forward(x.astype(np.float64), of)["p"], 10)
 
 
 def _score(batches, shared, key: int, mod: int, rest: int):
@@ -208,10 +220,12 @@ def _model(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int,
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.3, bound: int = 3_000, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score (likelihood of label 1) and predicted (score >= ``least``), for every row.
 
-    Null or empty text has no passages and gets the model's bias as its score. Null ids stay null
-    and are never held out; repeated rows are scored each; only the two named columns are read, so
-    others can't clash. An empty table gives an empty table. Labels of one class, or none, make
-    every score the smoothed prior.
+    Null or empty text has no passages and gets the model's bias as its score. A text of any length
+    is scored whole, from all its passages; only a single text's words are held at once. Equal texts
+    have equal scores, whatever they are scored with. Null ids stay null and are never held out;
+    repeated rows are scored each; only the two named columns are read, so others can't clash. An
+    empty table gives an empty table. Labels of one class, or none, make every score the smoothed
+    prior. ``bound`` labelled documents, of 40 million characters at most, train.
     """
     shared, key = _model(spark, docs, labels, bound, text, ident)
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -220,7 +234,12 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, leas
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.3, bound: int = 3_000, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, all columns as they were."""
+    """The rows of ``docs`` whose score is ``least`` or more, all columns as they were.
+
+    Nulls, empty and long texts, ties and repeated rows are scored as ``quality_scores`` says: equal
+    texts stay or go together, and rows without words stay if the bias alone reaches ``least``. No
+    column is added, so none can clash. An empty table gives an empty table.
+    """
     shared, key = _model(spark, docs, labels, bound, text, ident)
     return docs.mapInArrow(partial(_keep, shared=shared, key=key, least=least, text=text), docs.schema)
 
