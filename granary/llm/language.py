@@ -69,25 +69,71 @@ def emissions(weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def forward_backward(e: np.ndarray, starts: np.ndarray, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of each place (emission scores ``e``, sequences between ``starts``), and with ``pairs`` the expected transitions."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def forward_backward(e: np.ndarray, starts: np.ndarray, trans: np.ndarray, pairs: bool = False, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each place (emission scores ``e``, sequences between ``starts``), and with ``pairs`` the expected transitions.
+
+    A sequence is cut into blocks of ``block`` places. A block's effect on any message is a matrix
+    over the labels, and all blocks' matrices are made at once; messages then go from block to block
+    through them, and all blocks are filled in at once. So a text of a million words takes some
+    thousand steps, not a million each way.
+    """
     x = np.exp(e - e.max(axis=1, keepdims=True)) if len(e) else e
     a = np.exp(trans - trans.max())
-    n = np.diff(starts)
+    k = len(a)
+    count = -(-np.diff(starts) // block)
+    of = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)  # a block's number in its sequence
+    begin = starts[:-1][of] + nth * block
+    n = np.minimum(begin + block, starts[1:][of]) - begin
     order = np.argsort(-n, kind="stable")
-    first, n = starts[:-1][order], n[order]
+    first, n, nth_, own = begin[order], n[order], nth[order], np.empty(len(order), np.int64)
+    own[order] = np.arange(len(order))  # a block's place in the order by length
     active = len(n) - np.searchsorted(n[::-1], np.arange(n[0] if len(n) else 0), side="right")
+    head, tail = np.full((len(n), k), 1.0 / k), np.ones((len(n), k))  # messages into a block from both sides
+    if len(count) and count.max() > 1:
+        effect = np.tile(np.eye(k), (len(n), 1, 1))
+        for t, m in enumerate(active):
+            step = (effect[:m] @ a) * x[first[:m] + t][:, None, :]
+            effect[:m] = step / step.sum(axis=(1, 2), keepdims=True)
+        at = np.flatnonzero(count > 1)
+        base = (np.cumsum(count) - count)[at]
+        firsts = own[base]
+        # The first block has no transition into it: its message is what its places say from a flat start.
+        now = np.ones((len(at), k))
+        for t in range(block):
+            now = _unit((now if t == 0 else now @ a) * x[first[firsts] + t])
+        last = np.ones((len(at), k))
+        for j in range(1, int(count.max())):
+            go = count[at] > j
+            i = own[base[go] + j]
+            head[i] = now[go]
+            now[go] = _unit(np.einsum("nk,nkl->nl", now[go], effect[i]))
+        for j in range(int(count.max()) - 1, 0, -1):
+            go = count[at] > j
+            i = own[base[go] + j]
+            last[go] = _unit(np.einsum("nkl,nl->nk", effect[i], last[go]))
+            tail[own[base[go] + j - 1]] = last[go]
     alpha, beta = np.zeros_like(x), np.ones_like(x)
-    for t, k in enumerate(active):
-        at = first[:k] + t
-        own = x[at] if t == 0 else (alpha[at - 1] @ a) * x[at]
-        alpha[at] = own / own.sum(axis=1, keepdims=True)
+    for t, m in enumerate(active):
+        at = first[:m] + t
+        if t == 0:
+            into = np.where((nth_ > 0)[:, None], head @ a, 1.0)
+            alpha[at] = _unit(into[:m] * x[at])
+        else:
+            alpha[at] = _unit((alpha[at - 1] @ a) * x[at])
+    if len(n):
+        beta[first + n - 1] = tail
     expected = np.zeros_like(a)
-    for t in range(len(active) - 1, 0, -1):
-        at = first[: active[t]] + t
+    for t in range(len(active) - 1, -1, -1):
+        inner = np.arange(active[t]) if t else np.flatnonzero(nth_ > 0)
+        at = first[inner] + t
         msg = x[at] * beta[at]
-        back = msg @ a.T
-        beta[at - 1] = back / back.sum(axis=1, keepdims=True)
+        if t:
+            beta[at - 1] = _unit(msg @ a.T)
         if pairs:
             joint = alpha[at - 1][:, :, None] * a * msg[:, None, :]
             expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
@@ -166,7 +212,7 @@ def label_texts(model: Model, key: int, texts: list[bytes]) -> tuple[list[str],
     shares = shares / np.maximum(n, 1)[:, None]
     best = shares.argmax(axis=1)
     known = (n > 0) & bool(model.labels)
-    return [model.labels[b] if k else "und" for b, k in zip(best, known)], np.where(known, np.clip(shares.max(axis=1), 0, 1), 0.0), shares
+    return [model.labels[b] if k else "und" for b, k in zip(best, known)], np.where(known, np.round(np.clip(shares.max(axis=1), 0, 1), 10), 0.0), shares
 
 
 def _score(batches, shared, key: int, mod: int, rest: int):
@@ -203,7 +249,7 @@ def identify(spark: SparkSession, docs: DataFrame, bound: int = 1_500, text: str
     """doc_id, held_out, lang_pred and score (its mean share of the words with a letter), for every row.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be
-    learned. Ties go to the language that sorts first. Null ids stay null and are never held out;
+    learned. Texts of any length are labelled whole, in blocks. Equal texts get equal rows. Ties go to the language that sorts first. Null ids stay null and are never held out;
     repeated rows are scored each; only the named columns are read, so others can't clash. An empty
     table gives an empty table. One known language is then the only answer.
     """
@@ -213,7 +259,12 @@ def identify(spark: SparkSession, docs: DataFrame, bound: int = 1_500, text: str
 
 
 def spans(spark: SparkSession, docs: DataFrame, bound: int = 1_500, text: str = "text", ident: str = "doc_id", label: str = "lang") -> DataFrame:
-    """Runs of words of one language in code-switched texts: doc_id, word (from 0), words, lang, score."""
+    """Runs of words of one language in code-switched texts: doc_id, word (from 0), words, lang, score.
+
+    Texts without words, null ones and those of an empty table have no runs, nor has any text where
+    nothing could be learned. Long texts are labelled whole; ties go to the language that sorts
+    first; null ids stay null, repeated rows have their runs each, other columns aren't read.
+    """
     shared, key = _shared(spark, docs, bound, text, ident, label)
     own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(partial(_spans, shared=shared, key=key), "doc_id long, word long, words long, lang string, score double")
