@@ -7,6 +7,7 @@ yields, so no regular expression runs over the corpus.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Iterable, Iterator
 
@@ -133,16 +134,19 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.array([int.from_bytes(xxhash.xxh3_64_digest(b"byte%d" % i), "little") for i in range(256)], dtype=np.uint64)
 _BYTE_LOW = _BYTE.copy()
 _BYTE_LOW[65:91] = _BYTE[97:123]
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+CHUNK = 1 << 20  #: bytes hashed at once
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            t = np.full(max(n, 1 << 20), base, np.uint64)
-            t[0] = 1
-            _powers[i] = np.multiply.accumulate(t)
-    return _powers[0][:n], _powers[1][:n]
+def _running(base: int) -> np.ndarray:
+    t = np.full(CHUNK, base, np.uint64)
+    t[0] = 1
+    return np.multiply.accumulate(t)
+
+
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for the places of a chunk."""
+    return _running(_BASE), _running(_BASE_INVERSE)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,24 +163,47 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hash_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of the texts in a row, and each text's start among them.
 
-    A word's hash is a polynomial over its bytes, taken from running sums over the whole buffer, so
-    no word becomes a Python object. ``lower`` makes A-Z and a-z equal.
+    A word's hash is a polynomial over its bytes, taken from running sums over the buffer, so no
+    word becomes a Python object. ``lower`` makes A-Z and a-z equal. Sums run over ``CHUNK`` bytes
+    at a time and are carried on, so a text (or a word) of any length needs no more than that
+    besides the hashes.
     """
     data, offsets = text_buffer(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
-    begins = ~space
-    ends = begins.copy()
-    begins[1:] &= space[:-1]
-    ends[:-1] &= space[1:]
+    up, down = _power_tables()
+    values = _BYTE_LOW if lower else _BYTE
     full = offsets[1:] > offsets[:-1]
     first, last = offsets[:-1][full], offsets[1:][full] - 1
-    begins[first] |= ~space[first]
-    ends[last] |= ~space[last]
-    at, to = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _power_tables(len(data))
-    total = (_BYTE_LOW if lower else _BYTE)[data] * up
-    np.cumsum(total, out=total)
-    before = np.where(at > 0, total[at - 1], np.uint64(0))
-    return mix((total[to] - before) * down[at]), np.searchsorted(at, offsets)
+    places, before, after = [], [], []
+    carry = 0
+    for lo in range(0, len(data), CHUNK):
+        own = data[lo : lo + CHUNK]
+        hi = lo + len(own)
+        space = _SPACE[own]
+        begins = ~space
+        ends = begins.copy()
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        if lo:
+            begins[0] &= _SPACE[data[lo - 1]]
+        if hi < len(data):
+            ends[-1] &= _SPACE[data[hi]]
+        for marks, at in ((begins, first), (ends, last)):
+            at = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
+            marks[at] |= ~space[at]
+        at, to = np.flatnonzero(begins), np.flatnonzero(ends)
+        total = values[own] * up[: len(own)]
+        np.cumsum(total, out=total)
+        scale, back = np.uint64(pow(_BASE, lo, 1 << 64)), np.uint64(pow(_BASE_INVERSE, lo, 1 << 64))
+        start = np.uint64(carry)
+        sums = lambda i: start + scale * total[i]
+        places.append(back * down[at])
+        before.append(np.where(at > 0, sums(np.maximum(at, 1) - 1), start))
+        after.append(sums(to))
+        carry = int(sums(np.array([len(own) - 1]))[0])
+        at += lo
+        places[-1] = (places[-1], at)
+    at = np.concatenate([p[1] for p in places])
+    hashes = (np.concatenate(after) - np.concatenate(before)) * np.concatenate([p[0] for p in places])
+    return mix(hashes), np.searchsorted(at, offsets)

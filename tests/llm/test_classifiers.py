@@ -1,13 +1,16 @@
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from granary.llm import language as G
 from granary.llm import quality_classifier as C
 from granary.llm import quality_rules as R
+from granary.llm import samples as S
 from granary.llm import words as W
 
 
@@ -53,6 +56,113 @@ def test_attention_sums_to_one():
     assert r["p"][1] == pytest.approx(1 / (1 + np.exp(-m.b[0])), abs=1e-5)
 
 
+def test_scores_are_functions_of_the_text(spark, sf):
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(150).collect()] + [b"one two", b"two three", b"three one"]
+    rng = np.random.default_rng(1)
+    m = C.train(texts[:80], np.arange(80) % 2.0, epochs=2)
+    alone = np.concatenate([C.score_texts(m, 7, [t]) for t in texts])
+    for _ in range(3):
+        order = rng.permutation(len(texts))
+        assert (C.score_texts(m, 7, [texts[i] for i in order]) == alone[order]).all()
+
+
+def test_pairs_end_with_their_text():
+    words, starts = W.split_all([b"a b a", b"b a b"])
+    ids, _ = W.hash_words(pa.array([b"a b a", b"b a b"]))
+    begin, _ = C.passages(starts)
+    got = C.extras(words, ids, starts, begin)
+    for i, t in enumerate((b"a b a", b"b a b")):
+        w, s = W.split_all([t])
+        assert (got[i] == C.extras(w, W.hash_words(pa.array([t]))[0], s, C.passages(s)[0])[0]).all()
+
+
+def test_attention_gradient_against_differences():
+    rng = np.random.default_rng(2)
+    shape = {"w1": (C.WIDTH + C.EXTRA, C.HIDDEN), "b1": (C.HIDDEN,), "v": (C.HIDDEN,) * 2, "u": (C.HIDDEN,) * 2, "a": (C.HIDDEN,), "c": (C.HIDDEN,), "b": (1,)}
+    m = C.Model(np.zeros((1, C.WIDTH)), **{k: rng.standard_normal(s) * 0.4 for k, s in shape.items()})
+    x, of, y = rng.standard_normal((9, C.WIDTH + C.EXTRA)), np.array([0, 4, 5, 9]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = m.forward(x, of)["p"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    def slope(v, i):
+        old, h = v[i], 1e-6
+        v[i] = old + h
+        up = loss()
+        v[i] = old - h
+        down = loss()
+        v[i] = old
+        return (up - down) / (2 * h)
+
+    grad, dx = C.gradient(m, m.forward(x, of), x, of, y)
+    for name, g in [*grad.items(), ("x", dx)]:
+        v = x if name == "x" else getattr(m, name)
+        for i in [tuple(rng.integers(0, d) for d in v.shape) for _ in range(12)]:
+            assert g[i] == pytest.approx(slope(v, i), abs=1e-7), (name, i)
+    # The forward pass, document by document.
+    r = m.forward(x, of)
+    for d in range(3):
+        h = np.tanh(x[of[d] : of[d + 1]] @ m.w1 + m.b1)
+        e = (np.tanh(h @ m.v) / (1 + np.exp(-(h @ m.u)))) @ m.a
+        w = np.exp(e) / np.exp(e).sum()
+        assert r["p"][d] == pytest.approx(1 / (1 + np.exp(-((w @ h) @ m.c + m.b[0]))))
+
+
+def test_blocks_of_long_sequences_change_nothing():
+    rng = np.random.default_rng(4)
+    lengths = [0, 1, 7, 8, 9, 40, 3, 0, 65, 16]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    e, trans = rng.standard_normal((starts[-1], 4)) * 3, rng.standard_normal((4, 4))
+    want, pairs = G.forward_backward(e, starts, trans, pairs=True)
+    for block in (1, 2, 8, 64):
+        got, expected = G.forward_backward(e, starts, trans, pairs=True, block=block)
+        assert np.allclose(got, want) and np.allclose(expected, pairs)
+
+
+def test_language_of_a_text_of_two_million_words():
+    m = G.train([b"der die das und nicht " * 20, b"the of and to not " * 20], ["de", "en"], steps=40)
+    text = b"the of and " * 500_000 + b"der die das und nicht " * 100_000
+    began = time.monotonic()
+    lang, score, shares = G.label_texts(m, 1, [text, b"und das", b""])
+    assert lang == ["en", "de", "und"] and shares[0].tolist() == pytest.approx([0.25, 0.75], abs=0.01)
+    assert time.monotonic() - began < 60
+
+
+def test_a_word_hash_does_not_depend_on_its_place():
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcXYZ é\n\t"), rng.integers(0, 60))) for _ in range(300)] + ["x" * 5000, "", " "]
+    old, want = W.CHUNK, {}
+    for chunk in (old, 64, 1000):
+        W.CHUNK = chunk
+        W._power_tables.cache_clear()
+        try:
+            for low in (False, True):
+                h, starts = W.hash_words(pa.array(texts), lower=low)
+                assert np.diff(starts).tolist() == [len(t.encode().split()) for t in texts]
+                assert (h == want.setdefault(low, h)).all()
+        finally:
+            W.CHUNK = old
+            W._power_tables.cache_clear()
+    h, _ = W.hash_words(pa.array(texts))
+    by = {}
+    for w, x in zip([w for t in texts for w in t.encode().split()], h.tolist()):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+
+
+def test_samples_are_bounded_by_size_and_number(spark):
+    long = "word " * 400
+    docs = spark.createDataFrame([(i, long if i % 3 else "short text") for i in range(60)] + [(None, "x"), (60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)] + [(3, 1), (None, 1)], "doc_id long, quality int")
+    every = S.labelled(docs, labels, "quality", 1000, 5, 0)
+    assert {r[0] for r in every} == {i for i in range(60) if zlib.crc32(str(i).encode()) % 5} and dict((r[0], r[2]) for r in every)[3] == 1
+    assert len(S.labelled(docs, labels, "quality", 7, 5, 0)) <= 7
+    few = S.labelled(docs, labels, "quality", 1000, 5, 0, total=6_500)
+    assert set(few) <= set(every) and sum(len(r[1]) for r in few) <= 6_500 and any(len(r[1]) == 2000 for r in few)
+    assert {r[0] for r in every if len(r[1]) < 20} <= {r[0] for r in few}
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
