@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two grouped minima and joins over the edge table, so no task holds a component,
-and the number of rounds grows with the logarithm of the largest one. Every round's edges are
+Each round is two grouped minima and joins over the edge table, so no task holds a component; a
+node with a large part of all edges is spread over tasks. The number of rounds grows with the
+logarithm of the largest component. Every round's edges are
 written to the shared folder, which cuts lineage and survives the loss of executors.
 """
 
@@ -10,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.skew import spread_join
 from granary.runtime import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """(u, v) -> v's new neighbour is the smallest neighbour of u."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """(u, v) -> v's new neighbour is the smallest neighbour of u; ``total`` bounds the number of edges."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    linked = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+    linked = spread_join(both, least.drop("n"), ["u"], least, "n", 2 * total, ["v"])
     if large:
         out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,12 +38,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     all_nodes = scratch.table(clean.distinct(), "edges")
     now = scratch.table(all_nodes.filter(F.col("u") != F.col("v")), "star")
+    size = now.count()
     mark = None
     for _ in range(rounds):
-        step = scratch.table(_star(_star(now, True), False), "star")
+        # A star has at most two edges for each of the edges before.
+        step = scratch.table(_star(_star(now, True, size), False, 2 * size), "star")
         seen = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
-        now = step
+        now, size = step, seen[0]
         if mark == tuple(seen):
             break
         mark = tuple(seen)

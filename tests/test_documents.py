@@ -10,6 +10,7 @@ from granary.functions import prompts
 from granary.functions import text as tx
 from granary.operators import evaluate, graph, store
 from granary.operators.components import connected_components
+from granary.operators.skew import spread_join, unused
 from granary.plans import pipelines
 from granary.sources import readers, writers
 from granary.streaming import tokens
@@ -118,6 +119,26 @@ def test_parse_triples(spark):
     assert one(spark, "none", graph.parse_triples)["entities"] == [] and one(spark, "{broken", graph.parse_triples)["entities"] == []
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_the_join(spark, how):
+    big = spark.createDataFrame([(0 if i % 3 else i % 7, i, "x") for i in range(400)] + [(None, 999, "x")], "k int, v int, salt string")
+    small = spark.createDataFrame([(k, f"s{k}") for k in range(6)], "k int, name string")
+    rows = big.groupBy("k").count()
+    got = spread_join(big, small, ["k"], rows, "count", 401, ["v"], how, least=20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, ["k"], how).collect()))
+    assert "Generate" in got._jdf.queryExecution().toString()
+
+
+def test_unused_names():
+    assert unused(["a", "_A", "n"], "a", "N", "x") == ["__a", "_N", "x"]
+
+
+def test_components_of_a_hub(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 400, 7)] + [(5000, 5001), (5001, 5002)], "src long, dst long")
+    got = {r["node"]: r["component"] for r in connected_components(edges, runtime.Scratch(spark)).collect()}
+    assert {c for n, c in got.items() if n < 5000} == {0} and {c for n, c in got.items() if n >= 5000} == {5000} and len(got) == 460
+
+
 def test_simple_graph_and_components(spark):
     t = spark.createDataFrame([("a", "b", "r1", "d1", 1), ("b", "a", "r2", "d2", 2), ("c", "c", "self", "d", 3), ("d", "e", "x", "y", 4), ("e", "f", "x", "y", 5)], "src string, dst string, relation string, description string, seq long")
     g = graph.simple_graph(t)
