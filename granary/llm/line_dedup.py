@@ -7,8 +7,9 @@ costs a shuffled digest. Pass 2 counts documents of the suspects exactly, by 128
 pre-aggregated per task. Pass 3 rewrites the texts, with the repeated digests broadcast while
 they are within ``hot_bound`` and joined by document otherwise.
 
-The filters have a fixed size (``bits``), so what is merged and broadcast never grows; past
-their capacity more lines are suspects, and the result stays the same.
+The filters have about a bit for every byte of input, up to ``MOST_BITS``, so what is merged and
+broadcast is bounded; past their capacity more lines are suspects, and the result stays the same.
+A task ships the set bits of a slice of its filters by number while that is shorter.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary import runtime
+from granary.llm import samples
 from granary.llm import words as W
+from granary.operators.skew import spread_join, unused
 
 WS = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 17
 FAN_IN = 32
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
+UNNAMED = (1 << 63) - 1  #: stands for a null id, after all others
 
 
 def keys(text: bytes) -> list[bytes]:
@@ -53,6 +58,20 @@ def _set(bitmap: np.ndarray, p: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
 
 
+def _packed(slice_: np.ndarray) -> bytes:
+    """A slice's bytes, or the numbers of its set bits (and a mark) where those are shorter."""
+    at = np.flatnonzero(np.unpackbits(slice_, bitorder="little"))
+    return at.astype("<u4").tobytes() + b"s" if 4 * len(at) < len(slice_) else slice_.tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    if len(data) == size:
+        return np.frombuffer(data, np.uint8).copy()
+    bits = np.zeros(8 * size, np.uint8)
+    bits[np.frombuffer(data, "<u4", len(data) // 4)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
 def _filters(batches, bits: int, min_chars: int):
     from pyspark import TaskContext
 
@@ -71,19 +90,31 @@ def _filters(batches, bits: int, min_chars: int):
     for i in range(0, len(once), SLICE):
         o, t = once[i : i + SLICE], twice[i : i + SLICE]
         if o.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE], pa.int32()), "part": pa.array([part], pa.int32()), "once": [o.tobytes()], "twice": [t.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE], pa.int32()), "part": pa.array([part], pa.int32()), "once": [_packed(o)], "twice": [_packed(t)]})
 
 
 def _merge(table: pa.Table) -> pa.Table:
     once = twice = None
     for o, t in zip(table["once"].to_pylist(), table["twice"].to_pylist()):
-        o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
+        o, t = _unpacked(o, SLICE), _unpacked(t, SLICE)
         if once is None:
-            once, twice = o.copy(), t.copy()
+            once, twice = o, t
         else:
             twice |= t | (once & o)
             once |= o
-    return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())})
+    return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "once": pa.array([_packed(once)], pa.binary()), "twice": pa.array([_packed(twice)], pa.binary())})
+
+
+def filter_bits(docs: DataFrame, text: str) -> int:
+    """A power of two: about a bit for each byte of the texts by the optimizer's estimate, between ``LEAST_BITS`` and ``MOST_BITS``.
+
+    A line has some tens of bytes, so that is ten bits a line or more. Where nothing is known of the
+    size (a table made in memory) it is 2^26.
+    """
+    size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:
+        return 1 << 26
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, size - 1).bit_length()))
 
 
 def twice_seen(docs: DataFrame, text: str = "text", bits: int = 1 << 26, min_chars: int = 1) -> bytes:
@@ -99,7 +130,7 @@ def twice_seen(docs: DataFrame, text: str = "text", bits: int = 1 << 26, min_cha
         width = -(-width // FAN_IN)
     out = np.zeros(bits // 8, np.uint8)
     for r in level.select("slice", "twice").toLocalIterator():
-        out[r["slice"] * SLICE : r["slice"] * SLICE + len(r["twice"])] = np.frombuffer(r["twice"], np.uint8)
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _unpacked(bytes(r["twice"]), SLICE)
     return out.tobytes()
 
 
@@ -126,7 +157,7 @@ def _count(batches, shared, bits: int, min_chars: int, flush: int = 200_000):
         ids = b.column(1).to_pylist()
         for i, found in zip(ids, _suspects(W.raw(b.column(0)), twice, bits, min_chars)):
             n.update(found)
-            i = (1 << 63) - 1 if i is None else i
+            i = UNNAMED if i is None else i
             for d in found:
                 if i < first.get(d, 1 << 63):
                     first[d] = i
@@ -160,12 +191,12 @@ def _rewrite_one(text: bytes, own: int | None, hot, first: bool) -> tuple[bytes,
     return b"\n".join(out), len(lines), len(lines) - len(out)
 
 
-def _rewrite(batches, text: str, ident: str, names: tuple[str, str], first: bool, shared=None):
+def _rewrite(batches, text: str, own: str, names: tuple[str, str], first: bool, found: str | None = None, shared=None):
     for b in W.slices(batches, text):
         cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        ids = [(1 << 63) - 1 if i is None else i for i in cols[ident].to_pylist()]
+        ids = [UNNAMED if i is None else i for i in cols.pop(own).to_pylist()]
         if shared is None:
-            hots = [dict(zip(d or [], f or [])) for d, f in zip(cols.pop("_digests").to_pylist(), cols.pop("_firsts").to_pylist())]
+            hots = [{x["digest"]: x["first"] for x in d or []} for d in cols.pop(found).to_pylist()]
         else:
             hots = [shared.value] * b.num_rows
         done = [_rewrite_one(t, i, h, first) for t, i, h in zip(W.raw(cols[text]), ids, hots)]
@@ -174,7 +205,7 @@ def _rewrite(batches, text: str, ident: str, names: tuple[str, str], first: bool
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", ident: str = "doc_id", min_docs: int = 2, keep: str = "first", min_chars: int = 1, bits: int = 1 << 26, hot_bound: int = 500_000, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", ident: str = "doc_id", min_docs: int = 2, keep: str = "first", min_chars: int = 1, bits: int | None = None, hot_bound: int = 500_000, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with the lines dropped whose key ``min_docs`` rows or more hold.
 
     keep="first" leaves the first such line of the row with the smallest ``ident`` (null counts as
@@ -182,32 +213,40 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, text: str = "text", ident:
     documents, so an exactly repeated row counts twice; within a row a key counts once.
 
     Null text is an empty text, an empty text is one empty line, empty keys (and those of fewer
-    than ``min_chars`` code points) never repeat. All columns of ``docs`` stay, with ``text``
-    rewritten and the two ``counts`` added, in place of columns of those names. An empty table
-    gives an empty table. ``ident`` is read as a long.
+    than ``min_chars`` code points) never repeat. Texts of any length are read and written whole.
+    Ids are compared as numbers; those that aren't whole numbers (also as text) by their 64-bit
+    hash. All columns of ``docs`` stay, whatever their names, with ``text`` rewritten and the two
+    ``counts`` added, in place of columns of those names. An empty table gives an empty table.
+
+    ``bits`` is the size of the filters (a power of two at least), by the size of the input where
+    None. Up to ``hot_bound`` digests of repeated lines are broadcast, beyond that they are joined.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep must be 'first' or 'none'")
     docs = docs.drop(*counts)
-    bits = 1 << max(20, int(bits - 1).bit_length())
+    bits = 1 << max(20, int((bits or filter_bits(docs, text)) - 1).bit_length())
     sc, scratch = spark.sparkContext, runtime.Scratch(spark)
     shared = sc.broadcast(twice_seen(docs, text, bits, min_chars))
-    narrow = docs.select(F.col(text).cast("string").alias("text"), F.col(ident).cast("long").alias("id"))
+    body = F.col(f"`{text}`").cast("string")
+    narrow = docs.select(body.alias("text"), samples.long_id(docs, ident).alias("id"))
     hot = narrow.mapInArrow(partial(_count, shared=shared, bits=bits, min_chars=min_chars), "digest binary, docs long, first long")
-    hot = scratch.table(hot.groupBy("digest").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs).select("digest", "first"), "hot")
+    hot = scratch.table(hot.groupBy("digest").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs), "hot")
     fields = [T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema.fields]
     schema = T.StructType(fields + [T.StructField(n, T.LongType()) for n in counts])
-    body = docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    step = partial(_rewrite, text=text, ident=ident, names=counts, first=keep == "first")
-    if hot.count() <= hot_bound:
-        few = sc.broadcast({bytes(r["digest"]): r["first"] for r in hot.collect()})
-        return body.mapInArrow(partial(step, shared=few), schema)
-    key = F.xxhash64(F.col(ident).cast("long"), F.col(text).cast("string"))
-    found = docs.select(F.col(text).cast("string").alias("text"), key.alias("doc_key")).mapInArrow(partial(_per_doc, shared=shared, bits=bits, min_chars=min_chars), "doc_key long, digest binary").distinct()
-    per = found.join(hot, "digest").groupBy("doc_key").agg(F.collect_list(F.struct("digest", "first")).alias("_hot"))
-    per = per.select(F.col("doc_key").alias("_per_key"), F.col("_hot.digest").alias("_digests"), F.col("_hot.first").alias("_firsts"))
-    joined = docs.withColumn("_doc_key", key).join(per, F.col("_doc_key") == F.col("_per_key"), "left").drop("_doc_key", "_per_key")
-    return joined.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(step, schema)
+    own, key, per_key, found = unused([*docs.columns, *counts], "own", "key", "per_key", "found")
+    rows = docs.withColumn(own, samples.long_id(docs, ident)).withColumn(text, F.coalesce(body, F.lit("")))
+    step = partial(_rewrite, text=text, own=own, names=counts, first=keep == "first")
+    known = hot.agg(F.count("*"), F.sum("docs")).first()
+    if known[0] <= hot_bound:
+        few = sc.broadcast({bytes(r["digest"]): r["first"] for r in hot.select("digest", "first").collect()})
+        return samples.arrow_rows(rows, partial(step, shared=few), schema)
+    # A row's own hot lines are joined to it by what its id and text are; a line of nearly all texts is spread.
+    mark = F.xxhash64(F.col(own), F.col(f"`{text}`"))
+    held = rows.select(F.col(f"`{text}`").alias("text"), mark.alias("doc_key")).mapInArrow(partial(_per_doc, shared=shared, bits=bits, min_chars=min_chars), "doc_key long, digest binary").distinct()
+    held = spread_join(held, hot.select("digest", "first"), ["digest"], hot, "docs", known[1], ["doc_key"])
+    held = held.groupBy(F.col("doc_key").alias(per_key)).agg(F.collect_list(F.struct("digest", "first")).alias(found))
+    joined = rows.withColumn(key, mark).join(held, F.col(key) == F.col(per_key), "left").drop(key, per_key)
+    return samples.arrow_rows(joined, partial(step, found=found), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

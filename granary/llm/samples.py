@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary import runtime
+from granary.operators.skew import unused
 
 
 def held_out(ident: str, mod: int, rest: int) -> Column:
@@ -14,6 +16,27 @@ def held_out(ident: str, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string")) % mod == rest, F.lit(False))
 
 
+def long_id(docs: DataFrame, ident: str) -> Column:
+    """The id as a long: whole numbers as they are, also those written as text; other values by their hash, null as null."""
+    kind, name = dict(docs.dtypes)[ident], F.col(f"`{ident}`")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return name.cast("long")
+    text = name.cast("string")
+    value = F.coalesce(text.try_cast("long"), F.xxhash64(text)) if kind == "string" else F.xxhash64(text)
+    return F.when(name.isNotNull(), value)
+
+
+def arrow_rows(docs: DataFrame, step, schema: T.StructType) -> DataFrame:
+    """``docs.mapInArrow(step, schema)`` for columns of any name: ``step`` sees dots and backticks as underscores, made unlike the others."""
+    def plain(names: list[str]) -> list[str]:
+        odd = [i for i, n in enumerate(names) if "." in n or "`" in n]
+        new = dict(zip(odd, unused([n for i, n in enumerate(names) if i not in odd], *(names[i].replace(".", "_").replace("`", "_") for i in odd))))
+        return [new.get(i, n) for i, n in enumerate(names)]
+
+    named = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain(schema.names), schema.fields)])
+    return docs.toDF(*plain(docs.columns)).mapInArrow(step, named).toDF(*schema.names)
+
+
 def mark(*columns: str) -> Column:
     """A hash of the columns, even over 0 .. 2^53 - 1."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11)
@@ -31,14 +54,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, mod: in
     and the smallest text count. Texts are whole; those that don't fit in what the texts before
     leave of ``total`` characters are passed over, which bounds the sample as ``bound`` does.
     """
-    own = labels.select(F.col(ident).cast("long").alias("doc_id"), F.col(label).alias("label"))
+    own = labels.select(long_id(labels, ident).alias("doc_id"), F.col(label).alias("label"))
     own = own.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, rest))
     # Twice what is wanted passes the threshold, so only that much is grouped and ordered.
     known = own.agg(F.approx_count_distinct("doc_id")).first()[0]
     if known > 2 * bound:
         own = own.filter(mark("doc_id") < share(2 * bound / known))
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(mark("doc_id"), "doc_id").limit(bound)
-    texts = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    texts = docs.select(long_id(docs, ident).alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
     scratch = runtime.Scratch(docs.sparkSession)
     rows = scratch.table(texts.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), "sample")
     fit, left = [], total

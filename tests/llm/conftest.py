@@ -37,3 +37,15 @@ def labels(spark):
 @pytest.fixture(scope="session")
 def no_labels(spark):
     return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+AWKWARD = ("_own", "own", "_n", "n", "_size", "size", "_lost", "lost", "lost_id", "_digests", "_firsts", "_doc_key", "_per_key", "key", "_id", "_key", "_words", "_taken", "_rows", "component", "count", "a.b")
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    """Ids as text, columns with the names that operators may use, equal ids with other texts, equal rows of two sources."""
+    base = words(11, 80)
+    rows = [("1", "x y z\n" + base, "s"), ("2", "x y z", "s"), ("3", "x y z", "t"), ("3", words(12, 60), "t"), ("4", base + " tail", "s"), ("5", words(13, 50), "s"), ("5", words(13, 50), "u"), ("5", words(13, 50), "u"), ("n", words(14, 40), "u"), (None, base, "u"), ("2", None, None)]
+    schema = "doc_id string, text string, source string, " + ", ".join(f"`{n}` string" for n in AWKWARD)
+    return spark.createDataFrame([(*r, *(f"{n}{k % 2}" for n in AWKWARD)) if k != 7 else (*r, *(f"{n}0" for n in AWKWARD)) for k, r in enumerate(rows)], schema).repartition(3)

@@ -58,3 +58,30 @@ def test_filter_has_no_false_negative(spark):
 def test_bad_argument(spark, odd):
     with pytest.raises(ValueError):
         L.dedup_lines(spark, odd, keep="last")
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_ids_as_text_and_awkward_columns(spark, awkward, keep, bound):
+    rows = [tuple(r) for r in awkward.collect()]
+    number = {"1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "n": 100, None: None}  # "n" holds no line of others
+    out = L.dedup_lines(spark, awkward, min_docs=2, keep=keep, hot_bound=bound)
+    assert out.columns == [*awkward.columns, "n_lines", "n_dropped"]
+    got = [tuple(r) for r in out.collect()]
+    assert sorted([(number[r[0]], r[1], r[-2], r[-1]) for r in got], key=str) == brute([(number[r[0]], r[1]) for r in rows], 2, keep == "first")
+    assert sorted(map(str, ((r[0], *r[2:-2]) for r in got))) == sorted(map(str, ((r[0], *r[2:]) for r in rows)))
+
+
+def test_slices_are_packed_either_way():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for share in (0, 0.001, 0.02, 0.5, 1):
+        x = np.packbits(rng.random(8 * 4096) < share)
+        assert (L._unpacked(L._packed(x), 4096) == x).all() and len(L._packed(x)) <= 4096
+
+
+def test_filters_grow_with_the_input(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = L.filter_bits(docs, "text")
+    assert L.LEAST_BITS <= size <= L.MOST_BITS and size == 1 << size.bit_length() - 1
