@@ -17,12 +17,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary import runtime
+from granary.llm import samples
 from granary.llm import words as W
+from granary.operators.skew import unused
 
 WEIGHTS = (5, 2, 1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -73,10 +75,17 @@ def source_targets(spark: SparkSession, sources: DataFrame, scratch: runtime.Scr
     return ranked.withColumn("target", F.when(capped, cap.cast("double")).otherwise(F.lit(level or 0.0) * F.col("weight")))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of the whole row; rows that differ anywhere are told apart."""
+    plain = [f"`{n}`" for n, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    other = [F.to_json(F.struct(F.col(f"`{n}`"))) for n, kind in docs.dtypes if "map<" in kind or kind == "variant"]
+    return F.xxhash64(*plain, *other)
+
+
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 17, text: str = "text", ident: str = "doc_id", source: str = "source", strata: int = 3, with_key: bool = False) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes of the document).
 
-    Size is the number of words; null text has none. A null source is a source of its own, after
+    Size is the number of words, however long the text; null and empty text has none. A null source is a source of its own, after
     the others; a null id is hashed as the empty string. Repeated rows are documents each; equal
     ids are ordered by size, so which of two equal rows comes first doesn't matter. Only the named
     columns are read. An empty table, or one without words, takes nothing. Reruns agree: the order
@@ -84,10 +93,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3,
     source.
     """
     scratch = runtime.Scratch(spark)
-    own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    names = [samples.long_id(docs, ident).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")]
     key = ["_key"] * with_key
-    if with_key:
-        own = own.withColumn("_key", F.xxhash64("text"))
+    own = docs.select(*names, *([row_key(docs).alias("_key")] if with_key else []))
     sized = own.mapInArrow(_sizes, "doc_id long, source string, " + "_key long, " * with_key + "size long")
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = scratch.table(sized.withColumn("_h", hashed), "sizes")
@@ -99,7 +107,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3,
     targets = targets.withColumnRenamed("source", "_source")
     parts = parts.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
     parts = parts.withColumnsRenamed({"source": "_source", "_s": "_stratum"})
-    run = Window.partitionBy("source", "_s").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source", "_s").orderBy("_h", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("_s", stratum).withColumn("_run", F.coalesce(F.sum("size").over(run), F.lit(0)))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_s") == F.col("_stratum")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -108,17 +116,17 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3,
     return rows.withColumn("_whole", whole).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *key)
 
 
-def _cut(batches, text: str):
-    """Texts of repetitions: whole, or their first ``_words`` words."""
+def _cut(batches, text: str, words: str):
+    """Texts of repetitions: whole, or their first words where there is a number of them."""
     for b in W.slices(batches, text, max_bytes=3_000_000):
         cols = dict(zip(b.schema.names, b.columns))
-        least = cols.pop("_words").to_pylist()
+        least = cols.pop(words).to_pylist()
         if any(n is not None for n in least):
             out = []
             for t, n in zip(W.raw(cols[text].cast(pa.string())), least):
                 if n is not None:
                     end = 0
-                    for w in t.split()[:n]:
+                    for w in t.split(None, n)[:n]:
                         end = t.index(w, end) + len(w)
                     t = t[:end]
                 out.append(t)
@@ -126,27 +134,37 @@ def _cut(batches, text: str):
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 17, text: str = "text", ident: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed_documents(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 17, text: str = "text", ident: str = "doc_id", source: str = "source", run: int = 1024) -> DataFrame:
     """The mix itself: the rows of ``docs`` that are taken, as often as they are, all columns as they were.
 
     A row appears once for each whole repetition; the one document at a source's border has one
-    more in part, its first words. Rows that aren't taken, or have no words, are left out. Rows of
-    equal id and text are told apart by number only: they share what is taken of them evenly.
+    more in part, its first words. Rows that aren't taken, or have no words (null and empty texts),
+    are left out. Rows that are equal in every column can't be told apart: what is taken of them
+    together comes as whole repetitions and at most one part. Rows that differ in any column, in
+    the source alone as well, are each taken as ``mix`` says. Long texts are taken whole; columns
+    may have any name. An empty table gives an empty table. Repetitions of one row beyond ``run``
+    are made in runs of that many, by several tasks.
     """
     scratch = runtime.Scratch(spark)
-    key = F.xxhash64(F.col(text).cast("string"))
-    marks = mix(spark, docs.withColumn(text, F.col(text).cast("string")), weights, epochs, seed, text, ident, source, with_key=True)
-    marks = marks.groupBy("doc_id", "_key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows"))
-    marks = scratch.table(marks.filter("_taken > 0").withColumnRenamed("doc_id", "_id"), "marks")
-    rows = docs.withColumn("_own", key).join(marks.hint("merge"), F.col(ident).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    if marks.filter("_rows > 1").limit(1).count():
-        rows = rows.dropDuplicates(["_id", "_key"])
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rest = F.col("_taken") - (F.col("_n") - 1) * F.col("_size")
-    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).withColumn("_words", F.when(rest < F.col("_size"), rest))
-    rows = rows.withColumn(text, F.col(text).cast("string")).select(*[c for c in docs.columns], "_words")
-    schema = rows.drop("_words").schema
-    return rows.mapInArrow(partial(_cut, text=text), schema)
+    docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    marks = mix(spark, docs, weights, epochs, seed, text, ident, source, with_key=True)
+    own, key, taken, size, n, begin, words, same = unused(docs.columns, "own", "key", "taken", "size", "n", "begin", "words", "same")
+    marks = marks.groupBy(F.col("_key").alias(key)).agg(F.sum("taken").alias(taken), F.max("size").alias(size), F.count("*").alias(same))
+    marks = scratch.table(marks.filter(F.col(taken) > 0), "marks")
+    rows = docs.withColumn(own, row_key(docs)).join(marks.hint("merge"), F.col(own) == F.col(key))
+    times = F.ceil(F.col(taken) / F.col(size)).cast("long")
+    most = marks.agg(F.max(same), F.max(times)).first()
+    if (most[0] or 1) > 1:  # one of equal rows, with what is taken of all
+        rows = rows.filter(F.col(same) == 1).unionByName(rows.filter(F.col(same) > 1).dropDuplicates([key]))
+    if (most[1] or 1) > run:
+        long = rows.filter(times > run).withColumn(begin, F.explode(F.sequence(F.lit(1).cast("long"), times, F.lit(run).cast("long")))).repartition(key, begin)
+        rows = rows.filter(times <= run).withColumn(begin, F.lit(1).cast("long")).unionByName(long)
+    else:
+        rows = rows.withColumn(begin, F.lit(1).cast("long"))
+    rows = rows.withColumn(n, F.explode(F.sequence(F.col(begin), F.least(times, F.col(begin) + run - 1))))
+    rest = F.col(taken) - (F.col(n) - 1) * F.col(size)
+    rows = rows.withColumn(words, F.when(rest < F.col(size), rest)).select(*[f"`{c}`" for c in docs.columns], words)
+    return samples.arrow_rows(rows, partial(_cut, text=text, words=words), docs.schema)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

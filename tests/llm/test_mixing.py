@@ -56,6 +56,37 @@ def test_mixed_documents_hold_the_taken_words(spark, odd):
     assert sum(len(r["text"].split()) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("run", [1024, 2])
+def test_mixed_documents_are_the_rows_taken(spark, awkward, run):
+    """Each row as often as it is taken, columns of any name as they were; equal rows are taken together."""
+    rows = awkward.collect()
+    taken = {}
+    marks = M.mix(spark, awkward, with_key=True, weights=(1, 9, 30)).collect()
+    keys = {r["k"]: tuple(r)[:-1] for r in awkward.withColumn("k", M.row_key(awkward)).collect()}
+    assert len(keys) == len({tuple(r) for r in rows}) == len(rows) - 1
+    for r in marks:
+        taken[r["_key"]] = taken.get(r["_key"], 0) + r["taken"]
+    want = []
+    for k, row in keys.items():
+        w = (row[1] or "").split()
+        left = taken[k]
+        while left > 0:
+            want.append((row[0], " ".join(w[:left]), *row[2:]))
+            left -= len(w)
+    out = M.mixed_documents(spark, awkward, weights=(1, 9, 30), run=run)
+    assert out.columns == awkward.columns
+    got = [(r[0], " ".join(r[1].split()), *r[2:]) for r in map(tuple, out.collect())]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_equal_texts_of_two_sources_stay_apart(spark):
+    d = spark.createDataFrame([(1, "a b c d", "s"), (1, "a b c d", "t"), (1, "a b c d", "u"), (2, "e f g h", "u")], "doc_id long, text string, source string")
+    n = {"s": 0, "t": 0, "u": 0}
+    for r in M.mixed_documents(spark, d, weights=(1, 1, 1)).collect():
+        n[r["source"]] += len(r["text"].split())
+    assert n == pytest.approx({"s": 16 / 3, "t": 16 / 3, "u": 16 / 3}, abs=1)
+
+
 def test_word_counts():
     import pyarrow as pa
 
