@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import runtime
+from granary.llm import samples
 from granary.llm import words as W
 from granary.operators.components import connected_components
+from granary.operators.skew import spread_join, unused
 
 BUCKETS, SLICE, FAN_IN, BANDS, ROWS = 1 << 20, 1 << 16, 32, 4, 3
 BYTES = 1_000_000  #: of text at once, so that the arrays stay in a core's cache
 MOST = 8  #: the largest l that is considered
+TOKENS = 4_000_000  #: of the sets that are verified together
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -257,20 +260,23 @@ def _verify(batches, percent: int):
         yield batch()
 
 
-def _units(pairs: DataFrame, size: DataFrame, block: int, scratch: runtime.Scratch) -> DataFrame:
+def _units(pairs: DataFrame, size: DataFrame, scratch: runtime.Scratch) -> DataFrame:
     """(u, v, mode, side, block): what is verified together, from candidate block pairs (a, b).
 
+    ``size`` has the classes ``n`` of each block and ``fill``, the part of a unit's bounds (number of
+    classes, and of tokens) that they take.
+
     A block joins its largest candidate partner, if that is larger and joins no other itself; so a
     group's left-over blocks travel with its main block once instead of meeting it pair by pair.
-    Those that join one block are cut into parts of about ``block`` classes. Candidate pairs that
+    Those that join one block are cut into parts that fill a unit. Candidate pairs that
     no such unit covers are units of their own.
     """
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("block")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("block")))
     best = both.join(size, "block").groupBy("x").agg(F.max(F.struct("n", "block")).alias("best")).withColumnRenamed("x", "block")
-    joins = best.join(size, "block").filter(F.col("best") > F.struct("n", "block")).select("block", "n", F.col("best.block").alias("main"))
+    joins = best.join(size, "block").filter(F.col("best") > F.struct("n", "block")).select("block", "fill", F.col("best.block").alias("main"))
     joins = scratch.table(joins, "joins")
     joins = joins.join(joins.select(F.col("block").alias("main")), "main", "left_anti")
-    parts = joins.groupBy("main").agg(F.ceil(F.sum("n") / block).alias("parts"))
+    parts = joins.groupBy("main").agg(F.ceil(F.sum("fill")).alias("parts"))
     joins = scratch.table(joins.join(parts, "main").select("block", "main", F.pmod(F.xxhash64("block"), "parts").alias("part")), "units")
     used = joins.select("main", "part").distinct().unionByName(joins.select("main", F.lit(0).cast("long").alias("part")).distinct()).distinct()
     mode = F.when(F.col("part") == 0, FULL).otherwise(REST)
@@ -287,7 +293,7 @@ def _units(pairs: DataFrame, size: DataFrame, block: int, scratch: runtime.Scrat
     return out.unionByName(row(left, "a", "b", cross, 0, "a")).unionByName(row(left, "a", "b", cross, 1, "b"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 90, block: int = 1024, text: str = "text", ident: str = "doc_id", wanted_bound: int = 2_000_000) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 90, block: int = 1024, tokens: int = TOKENS, text: str = "text", ident: str = "doc_id", wanted_bound: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id for every row of ``docs``.
 
     Two rows are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of n-word
@@ -298,11 +304,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     row has one. Only the two named columns are read. An empty table gives an empty table. All
     links are exact up to collisions of 64-bit shingle hashes within a pair of texts.
 
-    ``block`` bounds the classes verified against each other at once; up to ``wanted_bound``
-    8-byte keys of texts to verify are broadcast, beyond that they are joined.
+    Texts of any length are read whole. ``block`` classes, or ``tokens`` shingles where those are
+    fewer classes, are verified against each other at once (two texts at least); up to
+    ``wanted_bound`` 8-byte keys of texts to verify are broadcast, beyond that they are joined.
     """
     scratch = runtime.Scratch(spark)
-    own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, known, total = _linked(spark, docs, scratch, n, percent, block, tokens, text, ident, wanted_bound)
+    out = spread_join(rows.drop("text_key"), known.drop("docs", "component"), ["class_key"], known, "docs", total, ["doc_id", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _linked(spark: SparkSession, docs: DataFrame, scratch: runtime.Scratch, n: int, percent: int, block: int, tokens: int, text: str, ident: str, wanted_bound: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, text_key, n_shingles, class_key); classes (class_key, docs, n_similar, component, component_id); rows in all."""
+    own = docs.select(samples.long_id(docs, ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = own.withColumn("text_key", F.xxhash64("text"))
     parts = own.rdd.getNumPartitions()
     kinds = "kind byte, doc_id long, text_key long, n_shingles long, class_key binary, hashes array<long>, part int, counts binary"
@@ -312,20 +326,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     rows = first.filter("kind = 0").select("doc_id", "text_key", "n_shingles", "class_key", "hashes")
 
     full = rows.filter(F.col("class_key").isNotNull())
-    classes = full.groupBy("class_key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("hashes").alias("hashes"))
+    classes = full.groupBy("class_key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("hashes").alias("hashes"), F.max("n_shingles").alias("size"))
     classes = scratch.table(classes, "classes")
     # Near copies share most bands. A class goes to its most common band, and then to where most
     # of the classes that share a band with it went, so a group ends in one cluster.
     tried = scratch.table(classes.select("class_key", F.posexplode("hashes").alias("i", "h")), "bands")
-    common = tried.join(tried.groupBy("i", "h").count().filter("count > 1"), ["i", "h"])
-    common = scratch.table(common, "common")
+    total = rows.count()
+    shared_by = scratch.table(tried.groupBy("i", "h").count().filter("count > 1"), "shared")
+    common = scratch.table(spread_join(tried, shared_by, ["i", "h"], shared_by, "count", BANDS * total, ["class_key"]), "common")
     went = common.groupBy("class_key").agg(F.max(F.struct("count", -F.col("i"), "h")).alias("b")).select("class_key", F.xxhash64("b").alias("c"))
     most = common.join(went, "class_key").groupBy("i", "h", "c").agg(F.count("*").alias("n")).groupBy("i", "h").agg(F.max(F.struct("n", "c")).alias("m"))
-    cluster = common.join(most, ["i", "h"]).groupBy("class_key").agg(F.max("m").alias("m")).select("class_key", F.col("m.c").alias("c"))
+    cluster = spread_join(common, most, ["i", "h"], shared_by, "count", BANDS * total, ["class_key"]).groupBy("class_key").agg(F.max("m").alias("m")).select("class_key", F.col("m.c").alias("c"))
     cluster = scratch.table(cluster, "clusters")
-    room = cluster.groupBy("c").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    salted = cluster.join(room, "c").select("class_key", F.xxhash64("c", F.pmod(F.xxhash64("class_key", F.lit(1)), "blocks")).alias("block"))
-    blocks = classes.select("class_key", "text_key", "docs").join(salted, "class_key", "left")
+    sized = cluster.join(classes.select("class_key", "size"), "class_key")
+    room = scratch.table(sized.groupBy("c").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block, F.sum("size") / tokens)).alias("blocks")), "room")
+    salted = spread_join(cluster, room.drop("n"), ["c"], room, "n", total, ["class_key"]).select("class_key", F.xxhash64("c", F.pmod(F.xxhash64("class_key", F.lit(1)), "blocks")).alias("block"))
+    blocks = classes.select("class_key", "text_key", "docs", "size").join(salted, "class_key", "left")
     blocks = blocks.withColumn("block", F.coalesce("block", F.xxhash64("class_key")))
     blocks = scratch.table(blocks, "blocks")
 
@@ -339,8 +355,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     met = met.groupBy("ablock", "bblock").agg(F.count("*").alias("shared"), F.min(F.least("aneed", "bneed")).alias("need"))
     pairs = scratch.table(met.filter("shared >= need").select(F.col("ablock").alias("a"), F.col("bblock").alias("b")), "pairs")
 
-    size = scratch.table(blocks.groupBy("block").agg(F.count("*").alias("n")), "sizes")
-    wanted = blocks.join(_units(pairs, size, block, scratch), "block").select("class_key", "text_key", "docs", "u", "v", "mode", "side")
+    size = scratch.table(blocks.groupBy("block").agg(F.count("*").alias("n"), F.greatest(F.count("*") / block, F.sum("size") / tokens).alias("fill")), "sizes")
+    wanted = blocks.join(_units(pairs, size, scratch), "block").select("class_key", "text_key", "docs", "u", "v", "mode", "side")
     wanted = scratch.table(wanted, "wanted")
     keys = wanted.select("text_key").distinct()
     if keys.count() <= wanted_bound:
@@ -357,9 +373,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     joined = classes.select("class_key", "docs", "least").join(count, "class_key", "left").join(parts_of.withColumnRenamed("node", "class_key"), "class_key", "left")
     joined = joined.withColumn("component", F.coalesce("component", "class_key"))
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = joined.join(lowest, "component").select("class_key", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "class_key").join(scratch.table(known, "known"), "class_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = joined.join(lowest, "component").select("class_key", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "docs", "component", "component_id")
+    return rows.select("doc_id", "text_key", "n_shingles", "class_key"), scratch.table(known, "known"), total
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,15 +406,30 @@ QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 90, text: str = "text", ident: str = "doc_id", bound: int = 2_000_000) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one of the smallest id; all columns stay.
 
-    Rows with a null id can't be named as dropped, and stay. Of rows that share an id, one stays. Up to ``bound`` dropped ids are broadcast, beyond that they are joined.
+    Of rows of that id in the group, the one whose text has the smallest hash stays; of equal rows,
+    one. Rows that share an id but not a text are looked at each. Rows with a null id can't be named
+    as dropped, and stay; so do null and empty texts, which are like nothing. Long texts are
+    compared whole; columns may have any name. An empty table gives an empty table. Up to ``bound``
+    dropped rows are broadcast by id and text hash, beyond that they are joined.
     """
     scratch = runtime.Scratch(spark)
-    marks = scratch.table(near_duplicates(spark, docs, n, percent, text=text, ident=ident), "marks")
-    lost = marks.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    lost = F.broadcast(lost) if lost.count() <= bound else lost.hint("merge")
-    out = docs.join(lost, F.col(ident) == F.col("_lost"), "left_anti")
-    again = marks.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1)
-    if again.count():
-        named = out.filter(F.col(ident).isNotNull()).dropDuplicates([ident])
-        out = named.unionByName(out.filter(F.col(ident).isNull()))
-    return out
+    rows, known, total = _linked(spark, docs, scratch, n, percent, 1024, TOKENS, text, ident, 2_000_000)
+    named = rows.filter(F.col("doc_id").isNotNull() & F.col("class_key").isNotNull())
+    named = spread_join(named, known.select("class_key", "component"), ["class_key"], known, "docs", total, ["doc_id", "text_key"])
+    held = scratch.table(named.groupBy("component", "doc_id", "text_key").count(), "held")
+    first = held.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    lost = scratch.table(held.join(first, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key"), "lost")
+    own, key, lost_id, lost_key = unused(docs.columns, "own", "key", "lost_id", "lost_key")
+    out = docs.withColumn(own, samples.long_id(docs, ident)).withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string")))
+
+    def match(marks: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        marks = marks.select(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key))
+        marks = F.broadcast(marks) if marks.count() <= bound else marks.hint("merge")
+        return of.join(marks, (F.col(own) == F.col(lost_id)) & (F.col(key) == F.col(lost_key)), how)
+
+    out = match(lost, "left_anti", out)
+    again = held.join(first, ["doc_id", "text_key"], "left_semi").filter("count > 1")
+    if again.limit(1).count():
+        again = scratch.table(again, "again")
+        out = match(again, "left_anti", out).unionByName(match(again, "left_semi", out).dropDuplicates([own, key]))
+    return out.drop(own, key)

@@ -69,6 +69,29 @@ def test_keep_one(spark, odd):
     assert ids.count(None) == 2
 
 
+def test_keep_one_by_row_with_awkward_columns(spark, awkward):
+    """Equal ids with other texts are looked at each; columns of any name stay."""
+    rows = [tuple(r) for r in awkward.collect()]
+    out = N.keep_one(spark, awkward, bound=1)
+    assert out.columns == awkward.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows)
+    sets = [shingles(r[1]) for r in rows]
+    links = [[j for j in range(len(rows)) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    order = lambda i: int(rows[i][0]) if rows[i][0] not in (None, "n") else 10**9
+    want = [rows[i][:2] for i in range(len(rows)) if rows[i][0] is None or not sets[i] or all(order(j) >= order(i) for j in links[i])]
+    assert sorted(map(str, (r[:2] for r in got))) == sorted(map(str, dict.fromkeys(want)))
+
+
+@pytest.mark.parametrize("tokens", [150, 1000])
+def test_units_bounded_in_tokens(spark, tokens):
+    r = random.Random(7)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = [(i, " ".join(base[:60] + [f"x{i}"] + base[61:])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(N.near_duplicates(spark, df, tokens=tokens).collect(), brute(rows))
+
+
 def test_prefixes_share_enough():
     """Two sets that are similar enough share as many prefix tokens as the smaller l asks."""
     rng = np.random.default_rng(0)
