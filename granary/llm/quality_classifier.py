@@ -213,7 +213,7 @@ def _keep(batches, shared, key: int, least: float, text: str):
 
 
 def _model(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int, text: str, ident: str):
-    model = fit(docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")), labels, bound=bound)
+    model = fit(docs.select(samples.long_id(docs, ident).alias("doc_id"), F.col(text).alias("text")), labels, bound=bound)
     return spark.sparkContext.broadcast(model), xxhash.xxh3_64_intdigest(model.table.tobytes() + model.c.tobytes())
 
 
@@ -228,7 +228,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, leas
     prior. ``bound`` labelled documents, of 40 million characters at most, train.
     """
     shared, key = _model(spark, docs, labels, bound, text, ident)
-    own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(samples.long_id(docs, ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = own.mapInArrow(partial(_score, shared=shared, key=key, mod=5, rest=0), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
@@ -241,7 +241,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: fl
     column is added, so none can clash. An empty table gives an empty table.
     """
     shared, key = _model(spark, docs, labels, bound, text, ident)
-    return docs.mapInArrow(partial(_keep, shared=shared, key=key, least=least, text=text), docs.schema)
+    return samples.arrow_rows(docs, partial(_keep, shared=shared, key=key, least=least, text=text), docs.schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

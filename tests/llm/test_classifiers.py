@@ -40,6 +40,11 @@ def test_quality_odd(spark, odd, labels, nothing, no_labels):
     assert C.keep_good(spark, nothing, no_labels).collect() == []
 
 
+def test_keep_good_with_awkward_columns(spark, awkward, labels):
+    assert C.keep_good(spark, awkward, labels, least=0.0).exceptAll(awkward).count() == 0
+    assert C.keep_good(spark, awkward, labels, least=1.1).collect() == []
+
+
 def test_attention_learns():
     """Training separates texts that a mark tells apart."""
     texts = [b"good words here and there " * 30, b"bad### bad### stuff" * 20, b"fine text again " * 50, b"x### y### z###"]
