@@ -8,6 +8,7 @@ the stretch gives the matched words, the share of the template that is covered,
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Mapping
 from functools import partial
@@ -43,6 +44,7 @@ TEMPLATES: dict[str, str] = {
 GRAM, WINDOW = 2, 2
 #: Words that may stand between two parts of a template, and what they cost at most.
 INSERT, JUMP = 200, 6
+LONGEST = 4_000_000  #: words aligned in one go
 _ONE, _SAME = 1 << 40, (2 << 40) + (1 << 24)
 _STRIP = b".,;:!?()[]{}\"'`<>*#|%$&~_-/\\"
 
@@ -83,11 +85,13 @@ class Index:
         self.need = np.maximum(1, np.bincount(self.template, minlength=len(self.names)) // 5)
 
 
-def align(text: np.ndarray, lo: int, hi: int, template: np.ndarray, jump: bool = False) -> tuple[int, int, int]:
+def align(text: np.ndarray, lo: int, hi: int, template: np.ndarray, jump: bool = False, enough: int | None = None) -> tuple[int, int, int]:
     """Best local alignment (match 2, mismatch -1, gap -1) of text[lo:hi]; ``jump``: words added to the text in a row cost ``JUMP`` at most.
 
     Returns matched words and the span [from, to) in the text; ties go to the earliest end. A cell
-    is one number: the score, then the matched words, then the start, from ``lo`` on.
+    is one number: the score, then the matched words, then the start, from ``lo`` on. With
+    ``enough`` matched words the first such alignment is returned once it can't be bettered by going
+    on, so the texts behind it aren't read.
     """
     n = len(template)
     steps = np.arange(n, dtype=np.int64) * _ONE
@@ -104,6 +108,10 @@ def align(text: np.ndarray, lo: int, hi: int, template: np.ndarray, jump: bool =
         top = int(new.max())
         if top >> 24 > best >> 24:
             best, end = top, i + 1
+        elif enough is not None and i - end > 2 * n + INSERT * jump:
+            if (best >> 24) & 0xFFFF >= enough:
+                break
+            best, end = 0, i  # what came so far is too little and over
     return (best >> 24) & 0xFFFF, lo + (best & 0xFFFFFF), end
 
 
@@ -118,26 +126,31 @@ def matches(ids: np.ndarray, places: np.ndarray, hits: list[tuple[int, int, int]
     found = []
     for (t, _), at in by.items():
         template, at = index.words[t], np.array(sorted(at))
-        todo = [(max(0, int(at[0]) - len(template)), min(len(ids), int(at[-1]) + GRAM + len(template)))]
+        n = len(template)
+        enough = int(np.ceil(least * n - 1e-9))
+        first, last = max(0, int(at[0]) - n), min(len(ids), int(at[-1]) + GRAM + n)
+        # A cell counts 2^24 places: longer stretches in parts that overlap by what a match can span.
+        todo = [(lo, min(last, lo + LONGEST + 4 * n + 8 * INSERT)) for lo in range(first, last, LONGEST)]
         for jump in (False, True):
             rest = []
             while todo:
                 lo, hi = todo.pop()
-                if ((at >= lo) & (at + GRAM <= hi)).sum() < index.need[t] or hi - lo < least * len(template):
+                if np.searchsorted(at, hi - GRAM, side="right") - np.searchsorted(at, lo) < index.need[t] or hi - lo < enough:
                     continue
-                n, a, b = align(ids, lo, hi, template, jump)
-                if n and n / len(template) >= least:
-                    found.append((index.names[t], n, n / len(template), int(places[a]), int(places[b - 1]) + 1))
+                m, a, b = align(ids, lo, hi, template, jump, enough)
+                if m and m >= enough:
+                    found.append((index.names[t], m, m / n, int(places[a]), int(places[b - 1]) + 1))
                     todo += [(lo, a), (b, hi)]
                 else:
                     rest.append((lo, hi))
             todo = rest
     found.sort(key=lambda r: (-r[1], r[3], r[0]))
-    kept: list[tuple[str, int, float, int, int]] = []
+    kept: list[tuple[int, int, tuple]] = []  # by place; spans don't overlap
     for r in found:
-        if all(r[4] <= o[3] or r[3] >= o[4] for o in kept):
-            kept.append(r)
-    return sorted(kept, key=lambda r: (r[3], r[0]))
+        i = bisect.bisect(kept, r[3], key=lambda k: k[0])
+        if (i == 0 or kept[i - 1][1] <= r[3]) and (i == len(kept) or kept[i][0] >= r[4]):
+            kept.insert(i, (r[3], r[4], r))
+    return [k[2] for k in kept]
 
 
 def scan_texts(texts: list[bytes], index: Index, least: float) -> list[list[tuple[str, int, float, int, int]]]:
@@ -167,10 +180,10 @@ def scan_texts(texts: list[bytes], index: Index, least: float) -> list[list[tupl
     stretch = np.cumsum(new) - 1
     ok = np.bincount(stretch)[stretch] >= index.need[template] if len(hit) else new
     hit, doc, template, stretch = hit[ok], doc[ok], template[ok], stretch[ok]
-    for d in np.unique(doc).tolist():
+    docs, begin = np.unique(doc, return_index=True)
+    for d, x, y in zip(docs.tolist(), begin.tolist(), [*begin[1:].tolist(), len(doc)]):
         a, b = int(bounds[d]), int(bounds[d + 1])
-        own = doc == d
-        rows = [(p - a, t, g) for p, t, g in zip(hit[own].tolist(), template[own].tolist(), stretch[own].tolist())]
+        rows = [(p - a, t, g) for p, t, g in zip(hit[x:y].tolist(), template[x:y].tolist(), stretch[x:y].tolist())]
         out[d] = matches(plain[a:b], real[a:b] - starts[d], rows, index, least)
     return out
 
@@ -191,7 +204,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: Mapping[str,
     the one with most matched words stays (then the earlier, then the name that sorts first). Words
     are compared in lower case and without punctuation at their ends. Null or empty texts have no
     rows; a null id stays null; repeated rows are scanned each; only the two named columns are read.
-    No templates, or an empty table, give no rows.
+    No templates, or an empty table, give no rows. Long texts are scanned whole, in time that grows
+    with their length; every copy of a notice is found, also where copies touch.
     """
     shared = spark.sparkContext.broadcast(Index(templates))
     own = docs.select(samples.long_id(docs, ident).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -322,6 +323,50 @@ def test_licenses_twice_and_warranty_alone():
     assert [g[0] for g in L.scan_texts([text.encode()], index, 0.75)[0]] == ["isc", "isc", "mit-warranty"]
 
 
+@pytest.mark.parametrize("name", ["all-rights-reserved", "mit-notice", "isc", "bsd-warranty"])
+def test_every_copy_of_a_notice(name):
+    index, text = L.Index(L.TEMPLATES), L.TEMPLATES[name]
+    n = len(text.split())
+    for gap in range(13):
+        for copies in (2, 6):
+            words_ = "a b c " + (" " + " ".join(f"x{i}" for i in range(gap)) + " ").join([text] * copies) + " d e"
+            got = L.scan_texts([words_.encode()], index, 0.75)[0]
+            assert [(g[0], g[2], g[3], g[4]) for g in got] == [(name, 1.0, 3 + i * (n + gap), 3 + i * (n + gap) + n) for i in range(copies)]
+
+
+def test_many_notices_take_time_by_their_number():
+    index = L.Index(L.TEMPLATES)
+    began = time.monotonic()
+    got = L.scan_texts([" x y z w ".join(["All rights reserved."] * 4000).encode()], index, 0.75)[0]
+    assert [(g[3], g[4]) for g in got] == [(7 * i, 7 * i + 3) for i in range(4000)] and time.monotonic() - began < 30
+
+
+def test_licenses_whole_table_against_full_alignment(spark, sf_dir):
+    """Rows are those of aligning every template with every whole text, best first, without an index."""
+    index, ids = L.Index(L.TEMPLATES), L.PlainIds()
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        plain = ids.array(r["text"].encode().split()) if r["text"] else np.zeros(0, np.uint64)
+        real = np.flatnonzero(plain)
+        plain, found = plain[real], []
+        for name, template in zip(index.names, index.words):
+            todo = [(0, len(plain))] if len(set(plain.tolist()) & set(template.tolist())) >= 0.75 * len(set(template.tolist())) else []
+            while todo:
+                lo, hi = todo.pop()
+                n, a, b = L.align(plain, lo, hi, template, True) if hi > lo else (0, 0, 0)
+                if n >= 0.75 * len(template):
+                    found.append((name, n, int(real[a]), int(real[b - 1]) + 1))
+                    todo += [(lo, a), (b, hi)]
+        found.sort(key=lambda x: (-x[1], x[2], x[0]))
+        kept = []
+        for f in found:
+            if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
+                kept.append(f)
+        want |= {(r["doc_id"], *k) for k in kept}
+    got = {(r["doc_id"], r["license"], r["matched"], r["first_word"], r["end_word"]) for r in L.op8_license_scan(spark, sf_dir).collect()}
+    assert got == want and want
+
+
 def test_licenses_odd(spark, odd, nothing):
     assert L.scan_licenses(spark, odd).collect() == [] and L.scan_licenses(spark, nothing).collect() == []
     more = spark.createDataFrame([(1, "x y\nAll Rights Reserved.\nz"), (2, None), (3, "Licensed under CC BY-NC 4.0. Released under the MIT License.")], "doc_id long, text string")
