@@ -3,6 +3,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from granary.llm import ann as A
@@ -259,6 +260,52 @@ def test_passages_of_hot_parts(spark, part):
         assert got == {(30, 10): (40, 40 + 2 * part, 2 * part)}
 
 
+def test_chains_at_once_against_one_by_one():
+    """All pairs of a stream at once give the chains that each pair gives by itself, whatever the batches."""
+    r = random.Random(10)
+    rows = []
+    for pair in range(60):
+        n, p, o = r.randrange(1, 9), r.randrange(50), r.randrange(50)
+        for _ in range(n):
+            size = r.choice([0, 0, 0, 16, 32])
+            rows.append((pair // 7, pair % 7, pair, 0, p, o, size))
+            p, o = p + r.choice([0, 1, 3, 9, 45]), o + r.choice([1, 3, 9, 9, 45] if pair % 2 else [-4, 1, 9])
+    rows.sort()
+    want = []
+    for key in sorted({x[:4] for x in rows}):
+        a = {(x[4], x[5]) for x in rows if x[:4] == key} | {(x[4] + x[6] - 5, x[5] + x[6] - 5) for x in rows if x[:4] == key and x[6]}
+        p, o = np.array(sorted(a)).T
+        for c in S.chain(p, o):
+            if len(c) > 1 and p[c[-1]] - p[c[0]] + 5 + 2 * S.MARGIN >= 90:
+                want.append((*key, [x for t in S._diagonals(p[c], o[c]) for x in t]))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int8())
+    for step, least in ((3, 1), (1000, 50), (10, 10)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + step]), kinds)], names=list("abcdefg")) for i in range(0, len(rows), step)]
+        got = [tuple(x.values()) for b in S._chains(batches, 5, 90, least) for x in b.to_pylist()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+
+
+def test_no_hopeful_chain_is_lost():
+    """The bound is never below the equal words of the alignment."""
+    r = random.Random(11)
+    for _ in range(300):
+        a = [r.randrange(40) for _ in range(r.randrange(60, 200))]
+        b = [w if r.random() < 0.85 else r.randrange(40) for w in a if r.random() < 0.97]
+        anchors = sorted({(i, j) for i in range(len(a) - 5) for j in range(max(0, i - 12), min(len(b) - 5, i + 12)) if a[i : i + 5] == b[j : j + 5]})
+        if len(anchors) < 2:
+            continue
+        p, o = np.array(anchors).T
+        for c in S.chain(p, o):
+            runs = np.array([x for t in S._diagonals(p[c], o[c]) for x in t])
+            lo, olo = max(0, runs[0] - S.MARGIN), max(0, runs[0] - runs[2] - S.MARGIN)
+            x = np.array(a, "<u4")[lo : runs[-2] + 5 + S.MARGIN]
+            y = np.array(b, "<u4")[olo : runs[-2] - runs[-1] + 5 + S.MARGIN]
+            n = len(S.equal_words(x, y, runs.reshape(-1, 3) - np.array([lo, lo, lo - olo]))[0])
+            args = pa.array([runs.tolist()], pa.list_(pa.int32())), np.array([lo]), np.array([olo]), pa.array([x.tobytes()]), pa.array([y.tobytes()])
+            assert S.hopeful(*args, n).all()
+            assert not S.hopeful(*args, 10_000).any()
+
+
 def test_stretches_against_all():
     r = random.Random(9)
     for _ in range(200):
