@@ -290,6 +290,7 @@ def test_no_hopeful_chain_is_lost():
     r = random.Random(11)
     for _ in range(300):
         a = [r.randrange(40) for _ in range(r.randrange(60, 200))]
+        a[30:30] = [r.randrange(40, 80) for _ in range(r.choice([0, 8, 25]))]
         b = [w if r.random() < 0.85 else r.randrange(40) for w in a if r.random() < 0.97]
         anchors = sorted({(i, j) for i in range(len(a) - 5) for j in range(max(0, i - 12), min(len(b) - 5, i + 12)) if a[i : i + 5] == b[j : j + 5]})
         if len(anchors) < 2:
@@ -300,10 +301,11 @@ def test_no_hopeful_chain_is_lost():
             lo, olo = max(0, runs[0] - S.MARGIN), max(0, runs[0] - runs[2] - S.MARGIN)
             x = np.array(a, "<u4")[lo : runs[-2] + 5 + S.MARGIN]
             y = np.array(b, "<u4")[olo : runs[-2] - runs[-1] + 5 + S.MARGIN]
-            n = len(S.equal_words(x, y, runs.reshape(-1, 3) - np.array([lo, lo, lo - olo]))[0])
+            at, oat = S.equal_words(x, y, runs.reshape(-1, 3) - np.array([lo, lo, lo - olo]))
             args = pa.array([runs.tolist()], pa.list_(pa.int32())), np.array([lo]), np.array([olo]), pa.array([x.tobytes()]), pa.array([y.tobytes()])
-            assert S.hopeful(*args, n).all()
-            assert not S.hopeful(*args, 10_000).any()
+            for least, percent in ((20, 80), (30, 90), (10, 50), (48, 80)):
+                assert S.hopeful(*args, least, percent).all() or not S.stretches(at, oat, least, percent)
+            assert not S.hopeful(*args, 10_000, 80).any() or len(runs) > 3 * S.MOST_RUNS
 
 
 def test_stretches_against_all():
