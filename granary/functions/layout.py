@@ -95,9 +95,7 @@ _INNER, _BOX = "[^{}]*?", '"bbox"' + r"\s*:\s*"
 OBJECT = r"(?s)\{" + _INNER + _BOX + r"\[[^\]]*?\]" + _INNER + r"\}"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once; nested plain expressions would be copied for each use."""
-    return F.transform(F.array(value), body)[0]
+_let = tx.let
 
 
 def repaired(raw: Column) -> Column:

@@ -114,14 +114,24 @@ def spaced_formulas(markdown: Column) -> Column:
     return F.regexp_replace(markdown, r"(?s)\$\$\n?(.*?)\n?\$\$", "\\$\\$\n$1\n\\$\\$")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; nested plain expressions would be copied for each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunks(words: Column, size: int = 1024, overlap: int = 20) -> Column:
     """Word windows of ``size`` that share ``overlap`` words: array<struct<pos, text>>."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to size - 1")
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)).cast("int"))
-    window = lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i * (size - overlap) + 1, size), " ").alias("text"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window))
+    step = size - overlap
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
+        window = lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i * step + 1, size), " ").alias("text"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window))
+
+    return let(words, cut)
 
 
 def valid_input(text: Column, most: int) -> Column:
