@@ -7,7 +7,7 @@ costs a shuffled digest. Pass 2 counts documents of the suspects exactly, by 128
 pre-aggregated per task. Pass 3 rewrites the texts, with the repeated digests broadcast while
 they are within ``hot_bound`` and joined by document otherwise.
 
-The filters have about a bit for every byte of input, up to ``MOST_BITS``, so what is merged and
+The filters have about a bit for every eight bytes of input, up to ``MOST_BITS``, so what is merged and
 broadcast is bounded; past their capacity more lines are suspects, and the result stays the same.
 A task ships the set bits of a slice of its filters by number while that is shorter.
 """
@@ -32,7 +32,7 @@ from granary.operators.skew import spread_join, unused
 WS = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 17
 FAN_IN = 32
-LEAST_BITS, MOST_BITS = 1 << 22, 1 << 30
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 UNNAMED = (1 << 63) - 1  #: stands for a null id, after all others
 
 
@@ -106,15 +106,15 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def filter_bits(docs: DataFrame, text: str) -> int:
-    """A power of two: about a bit for each byte of the texts by the optimizer's estimate, between ``LEAST_BITS`` and ``MOST_BITS``.
+    """A power of two: a bit for every eight bytes of the texts or more, by the optimizer's estimate, between ``LEAST_BITS`` and ``MOST_BITS``.
 
-    A line has some tens of bytes, so that is ten bits a line or more. Where nothing is known of the
+    A line has some tens or hundreds of bytes, so that is several bits a line. Where nothing is known of the
     size (a table made in memory) it is 2^26.
     """
     size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:
         return 1 << 26
-    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, size - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(0, size - 1) >> 3).bit_length()))
 
 
 def twice_seen(docs: DataFrame, text: str = "text", bits: int = 1 << 26, min_chars: int = 1) -> bytes:
