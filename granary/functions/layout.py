@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
@@ -180,3 +180,15 @@ def output_text(raw: Column) -> Column:
     bad = direct.isNull()
     texts = F.array_join(F.filter(F.transform(cleaned(raw), lambda c: c["text"]), lambda t: t.isNotNull()), "\n\n")
     return F.struct(F.when(bad, texts).alias("text"), direct.alias("cells"), bad.alias("filtered"))
+
+
+def cleaned_predictions(rows: DataFrame, field: str = "predict", out: str = "predict_resized") -> DataFrame:
+    """``rows`` with the cells of the reply in ``field`` (text or cells) put right and freed of repeats, as ``out``."""
+    kind = dict(rows.dtypes)[field]
+    raw = F.col(field) if kind == "string" else F.to_json(field)
+    return rows.withColumn(out, cleaned(raw))
+
+
+def crop_points(bbox: Column, image_width: Column, image_height: Column, page_width: Column, page_height: Column) -> Column:
+    """A box in pixels of a page's image as points of the page."""
+    return F.transform(bbox, lambda v, i: v / F.when(i % 2 == 0, image_width / page_width).otherwise(image_height / page_height))

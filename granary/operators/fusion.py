@@ -71,12 +71,23 @@ class MultiPath:
     """Several retrievers (queries, k -> hits with query_id, id, rank), fused.
 
     A retriever that raises while its plan is made gives nothing; with none left the result is empty.
+    With ``texts`` (id, content) hits of equal content are one, as if their content were the key; the
+    smallest id stands for them.
     """
 
     retrievers: list[tuple[str, Callable[[DataFrame, int], DataFrame]]]
     fusion: FusionMethod = reciprocal_ranks
     each: int = 50
     errors: dict[str, str] = field(default_factory=dict)
+    texts: DataFrame | None = None
+
+    def set_fusion(self, fusion: FusionMethod) -> None:
+        self.fusion = fusion
+
+    def _by_content(self, lists: list[DataFrame]) -> list[DataFrame]:
+        first = self.texts.groupBy(F.xxhash64("content").alias("_content")).agg(F.min("id").alias("_first"))
+        same = self.texts.select("id", F.xxhash64("content").alias("_content")).join(first, "_content").select("id", "_first")
+        return [d.join(same, "id", "left").withColumn("id", F.coalesce("_first", "id")).drop("_first") for d in lists]
 
     def search(self, queries: DataFrame, top_k: int | None = 10) -> DataFrame:
         lists = []
@@ -87,7 +98,7 @@ class MultiPath:
                 self.errors[name] = str(e)
         if not lists:
             return queries.select("query_id", F.lit(None).alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        return self.fusion(lists, top_k)
+        return self.fusion(lists if self.texts is None else self._by_content(lists), top_k)
 
     def add(self, name: str, find) -> None:
         self.retrievers.append((name, find))

@@ -129,6 +129,14 @@ def test_spread_join_is_the_join(spark, how):
     assert "Generate" in got._jdf.queryExecution().toString()
 
 
+def test_predictions_and_crops(spark):
+    cell = '[{"bbox": [0, 0, 10, 10], "category": "Text", "text": "a"} {"bbox": [0, 20, 10, 30], "category": "Text", "text": "b"}]'
+    got = ly.cleaned_predictions(spark.createDataFrame([(1, cell), (2, None)], "id int, predict string")).orderBy("id").collect()
+    assert [c["text"] for c in got[0]["predict_resized"]] == ["a", "b"] and got[0]["predict"] == cell
+    row = spark.createDataFrame([([100.0, 50.0, 300.0, 150.0],)], "b array<double>")
+    assert row.select(ly.crop_points(F.col("b"), F.lit(1000), F.lit(500), F.lit(500), F.lit(1000))).first()[0] == [50.0, 100.0, 150.0, 300.0]
+
+
 def test_unused_names():
     assert unused(["a", "_A", "n"], "a", "N", "x") == ["__a", "_N", "x"]
 

@@ -6,6 +6,7 @@ from granary.functions import vectors as vx
 from granary.operators import dense, fusion, lexical, models
 from granary.operators.filters import Group, Where, check_search, condition, scoped
 from granary.operators.registry import Registry, defaults
+from granary.plans import factory
 
 
 def lists(spark, *ranked):
@@ -48,6 +49,31 @@ def test_multipath_survives_a_failing_path(spark):
     assert m.search(q, None).count() == 2
 
 
+def test_multipath_by_content(spark):
+    q = spark.createDataFrame([(1, "x")], "query_id int, query string")
+    texts = spark.createDataFrame([("a", "same"), ("b", "same"), ("c", "other")], "id string, content string")
+    m = fusion.MultiPath([("one", lambda q, k: lists(spark, "ac")[0]), ("two", lambda q, k: lists(spark, "cb")[0])], texts=texts)
+    assert scores(m.search(q)) == pytest.approx({"a": 1 / 61 + 1 / 62, "c": 1 / 61 + 1 / 62})
+    m.set_fusion(lambda found, k: found[0].withColumn("score", F.lit(0.5)))
+    assert scores(m.search(q)) == {"a": 0.5, "c": 0.5}
+
+
+def test_run_from_a_configuration(spark, tmp_path):
+    (tmp_path / "docs.json").write_text('[{"id": 1, "content": "the cat sat on the mat"}, {"id": 2, "content": "rivers run to the sea"}, {"id": 3, "content": "stars are far away"}]')
+    (tmp_path / "queries.json").write_text('[{"query_id": 1, "query": "where do rivers run"}]')
+    (tmp_path / "run.yaml").write_text(f"dataset: {{path: {tmp_path}/docs.json, queries: {tmp_path}/queries.json}}\nrag: {{top_k: 1}}\n")
+    path = str(tmp_path / "run.yaml")
+    for store in ("flat", "bm25"):
+        got = factory.run(spark, path, [f"storage.type={store}", "rag.chunk=false"]).collect()
+        assert [r["query_id"] for r in got] == [1] and got[0]["evidence"] == ["rivers run to the sea"]
+    assert [r["query_id"] for r in factory.run(spark, path, ["rag.solution=community"]).collect()] == [1]
+    assert factory.read_config(path, ["rag.top_k=3"])["rag"]["top_k"] == 3
+    (tmp_path / "run.ini").write_text("")
+    for bad in (lambda: factory.read_config(str(tmp_path / "run.ini")), lambda: factory.read_config(path, ["rag.x=1"]), lambda: factory.run(spark, path, ["rag.solution=x"]), lambda: factory.run(spark, path, ["storage.type=x"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_bm25_against_formula(spark):
     texts = ["the cat sat", "the dog", "a cat and a dog and the bird", "fish"]
     index = lexical.from_texts(spark, texts, ids=[1, 2, 3, 4])
@@ -64,6 +90,8 @@ def test_bm25_against_formula(spark):
     assert got == pytest.approx({(i, d + 1): score(t, tok[d]) for i, t in ((1, "cat cat the"), (2, "nothing here")) for d in range(4)})
     assert [r["id"] for r in index.search(q, 2).filter("query_id = 2").orderBy("rank").collect()] == [1, 2]
     assert index.all_scores(q).count() == 8
+    index.update_k(3)
+    assert index.search(q).count() == 6 and index.info().first()["k"] == 3
     less, hit = index.without(spark.createDataFrame([(4,), (9,)], "id long"))
     assert hit and less.docs.count() == 3 and less.added(index.docs.filter("id = 4")).docs.count() == 4
     assert index.info().first()["vocab_size"] == len(vocabulary)
