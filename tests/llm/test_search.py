@@ -260,6 +260,71 @@ def test_passages_of_hot_parts(spark, part):
         assert got == {(30, 10): (40, 40 + 2 * part, 2 * part)}
 
 
+def by_seeds(rows):
+    """Links of all pairs of rows with equal seeds, pair by pair."""
+    out = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] > y[1]:
+                out.add((x[1], x[2], x[3], y[1], y[2], y[3]))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_links_of_all_pairs(size):
+    """Whatever the batches: all pairs of seeds of HOT rows, all others through one text."""
+    r = random.Random(size)
+    rows = []
+    for seed, n in enumerate([1, 2, 3, 40, S.HOT, S.HOT + 1, 5, 200, 2, 64]):
+        rows += [(seed, d, 0, r.randrange(100)) for d in sorted(r.sample(range(1000), n))]
+    cols = ["seed", "doc_id", "sub", "pos", *(f"after{m}" for m in S.LONG)]
+
+    def batches(rows):
+        for i in range(0, len(rows), size):
+            data = list(zip(*((*x, 0, 0) for x in rows[i : i + size])))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, kinds)], names=cols)
+
+    every = by_seeds(rows)
+    hot = {x for x in rows if x[0] in (5, 7)}
+    got = set()
+    for b in S._link(batches(rows), whole=True, rows=size):
+        got |= {(x["doc"], x["sub"], x["pos"], x["odoc"], x["osub"], x["opos"]) for x in b.to_pylist() if x["kind"] == 0}
+    cold = by_seeds([x for x in rows if x not in hot])
+    assert cold <= got <= every
+    for seed in (5, 7):
+        first = next(x for x in rows if x[0] == seed)
+        assert all((*x[1:], *first[1:]) in got for x in rows if x[0] == seed and x != first)
+
+
+def test_all_pairs_of_differing_copies(spark):
+    """Twenty-four texts hold a passage of 60 words, each with other edits: all pairs whose words suffice, as by comparing all."""
+    r = random.Random(31)
+    passage, rows, own = words(r, 60), [], []
+    for i in range(24):
+        p = list(passage)
+        for at in r.sample(range(2, 58), 3):
+            p[at] = f"e{i}x{at}"
+        own.append(p)
+        rows.append((i, " ".join([f"a{i}x{j}" for j in range(30)] + p + [f"b{i}x{j}" for j in range(30)])))
+    got = {(x["doc_id"], x["other_id"]) for x in S.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = {(i, j) for i in range(24) for j in range(i) if sum(a == b for a, b in zip(own[i], own[j])) >= 48}
+    assert len(want) > 200
+    assert len(got & want) >= 0.98 * len(want)  # a few pairs share fewer than two seeds
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_equal_texts_are_one_class(spark, bound):
+    """Copies have a row with the least id, from end to end; links of others go to it alone."""
+    r = random.Random(9)
+    text, short = words(r, 100), words(r, 30)
+    near = text[:70] + words(r, 30)
+    rows = [(i, " ".join(text)) for i in (7, 3, 9, 9)] + [(9, " ".join(short)), (4, " ".join(short)), (5, " ".join(near)), (6, " ".join(words(r, 80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(x) for x in S.repeated_passages(spark, df, wanted_bound=bound).collect())
+    assert got == [(5, 3, 0, 70, 0, 70, 70), (7, 3, 0, 100, 0, 100, 100), (9, 3, 0, 100, 0, 100, 100)]
+
+
 def test_chains_at_once_against_one_by_one():
     """All pairs of a stream at once give the chains that each pair gives by itself, whatever the batches."""
     r = random.Random(10)
