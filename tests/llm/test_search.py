@@ -297,6 +297,73 @@ def test_links_of_all_pairs(size):
         assert all((*x[1:], *first[1:]) in got for x in rows if x[0] == seed and x != first)
 
 
+@pytest.mark.parametrize("one_hash", [False, True])
+@pytest.mark.parametrize("rows", [100, 250_000])
+def test_packed_links(monkeypatch, rows, one_hash):
+    """Packed links are those of ``_link``, in a value a bucket, and come back whole pairs at a time, also where pairs have one hash."""
+    r = random.Random(rows)
+    seeds = sorted((s, r.randrange(40) + (1 << 40), r.choice([0, -7]), r.randrange(900)) for s in range(300) for _ in range(r.choice([1, 2, 9, 30])))
+    seeds += [(300, d, 0, d) for d in range(S.HOT + 9)]
+    kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((*x, 5, 6) for x in seeds[i : i + 500])), kinds)], names=list("abcdef")) for i in range(0, len(seeds), 500)]
+    if one_hash:
+        monkeypatch.setattr(S, "_pair_hash", lambda doc, *_: np.zeros(len(doc), np.uint64))
+    plain = [x for b in S._link(iter(batches)) for x in b.to_pylist()]
+    packed = [x for b in S._packed(iter(batches), 7, rows=rows) for x in b.to_pylist()]
+    want = sorted(tuple(x[c] for c in S.LINK.names) for x in plain if x["kind"] == 0 and x["doc"] != x["odoc"])
+    values = sorted((x["bucket"], x["links"]) for x in packed if x["kind"] == 0)
+    assert len(want) > 10_000 and (rows == 100 or len(values) == len({b for b, _ in values}) <= 7)
+    got = [x for b in S._by_pair([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*values)], names=["bucket", "links"])], rows=1_000) for x in b.to_pylist()]
+    assert sorted(tuple(x.values()) for x in got) == want
+    pairs = [tuple(x[c] for c in S.PAIR) for x in got]
+    assert 1 + sum(a != b for a, b in zip(pairs, pairs[1:])) == len(set(pairs))
+    assert all((a["pos"], a["opos"]) <= (b["pos"], b["opos"]) for a, b, p, q in zip(got, got[1:], pairs, pairs[1:]) if p == q)
+    names = {"kind": "kind", "seed": "seed", "doc": "doc_id", "sub": "sub", "pos": "pos", "size": "size", "osub": "asks"}
+    again = [tuple(x[c] for c in names) for x in plain if x["kind"]]
+    assert sorted(again) == sorted(tuple(x[c] for c in names.values()) for x in packed if x["kind"]) and again
+
+
+def test_links_reach_spark_packed(spark, monkeypatch):
+    """Sixty differing copies of 200 words have tens of thousands of links; the table of links has some rows a task."""
+    r = random.Random(12)
+    text, counts, table = words(r, 200), {}, S.runtime.Scratch.table
+
+    def counted(self, df, name="t", *args, **kwargs):
+        out = table(self, df, name, *args, **kwargs)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S.runtime.Scratch, "table", counted)
+    rows = [(i, " ".join(text[:100] + [f"e{i}"] + text[100:])) for i in range(60)]
+    got = {(x["doc_id"], x["other_id"]) for x in S.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i)}
+    assert counts["links"] < counts["seeds"] and counts["chains"] >= len(got)
+
+
+def test_gap_against_the_whole_table():
+    """The longest common subsequence, as read off the whole table."""
+    r = random.Random(13)
+    for _ in range(500):
+        v = r.choice([2, 5, 60])
+        a, b = (np.array([r.randrange(v) for _ in range(r.randrange(70))], np.uint32) for _ in range(2))
+        rows = [[0] * (len(b) + 1)]
+        for x in a.tolist():
+            row = [0]
+            for j, y in enumerate(b.tolist()):
+                row.append(max(rows[-1][j + 1], row[-1], rows[-1][j] + (x == y)))
+            rows.append(row)
+        want, i, j = [], len(a), len(b)
+        while i and j and rows[i][j]:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                want.append((i, j))
+        assert S._gap(a, b) == want[::-1]
+
+
 def test_all_pairs_of_differing_copies(spark):
     """Twenty-four texts hold a passage of 60 words, each with other edits: all pairs whose words suffice, as by comparing all."""
     r = random.Random(31)
