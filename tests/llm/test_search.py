@@ -297,6 +297,35 @@ def test_links_of_all_pairs(size):
         assert all((*x[1:], *first[1:]) in got for x in rows if x[0] == seed and x != first)
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_texts_that_repeat_a_seed(size):
+    """Seeds of more than HOT rows in HOT texts or fewer: all texts are linked, whatever the batches; at the ends of a range each text has a row."""
+    r = random.Random(size)
+    rows, texts = [], {}
+    for seed, (n, most) in enumerate([(40, 9), (1, 300), (30, 60), (3, 1), (S.HOT, 3), (S.HOT + 30, 4), (2, 200), (50, 5)]):
+        texts[seed] = sorted(r.sample(range(1000), n))
+        for d in texts[seed]:
+            rows += [(seed, d, 0, p) for p in sorted(r.sample(range(5000), most))]
+    kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+
+    def batches():
+        for i in range(0, len(rows), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((*x, 0, 0) for x in rows[i : i + size])), kinds)], names=list("abcdef"))
+
+    every, first = by_seeds(rows), {}
+    for x in rows:
+        first.setdefault(x[:2], x)
+    for whole in (True, False):
+        got = [x for b in S._link(batches(), whole=whole, rows=size) for x in b.to_pylist()]
+        links = {(x["doc"], x["sub"], x["pos"], x["odoc"], x["osub"], x["opos"]) for x in got if x["kind"] == 0 and x["doc"] != x["odoc"]}
+        assert links <= every
+        for seed, docs in texts.items():
+            if len(docs) <= S.HOT:
+                assert all((*first[seed, d][1:], *first[seed, o][1:]) in links for d in docs for o in docs if o < d), seed
+        edges = sorted((x["seed"], x["doc"], x["pos"]) for x in got if x["kind"] == 1)
+        assert edges == ([] if whole else sorted((s, d, first[s, d][3]) for s in (0, 7) for d in texts[s]))
+
+
 @pytest.mark.parametrize("one_hash", [False, True])
 @pytest.mark.parametrize("rows", [100, 250_000])
 def test_packed_links(monkeypatch, rows, one_hash):
