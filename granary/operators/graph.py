@@ -77,16 +77,15 @@ def summaries_for(found: DataFrame, summaries: DataFrame) -> DataFrame:
 def named_entity(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name) of the first name (by seq) that a query contains, whatever the case; null if none.
 
-    Names meet queries through their first word, an equi-join, and are then looked for whole.
+    Names meet queries by all parts of a query that are as long as some name, an equi-join on the
+    whole name: no start or word that many names share brings pairs together.
     """
-    word = r"(?U)[^\p{L}\p{N}]+"
-    asked = queries.select("query_id", F.lower("query").alias("q"))
-    parts = asked.select("query_id", "q", F.explode(F.array_distinct(F.split("q", word))).alias("w"))
-    keyed = names.select("name", "seq", F.lower("name").alias("n")).withColumn("head", F.element_at(F.split("n", word), 1))
-    grams = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, F.length("w"))), lambda x: x != ""))
-    tails = parts.filter(F.length("w") > 0).select("query_id", "q", grams.alias("tail"))
-    whole = tails.join(keyed, F.when(F.col("head") == F.col("n"), F.substring("tail", F.lit(1), F.length("head"))).otherwise(F.col("tail")) == F.col("head"))
-    best = whole.filter(F.expr("contains(q, n)")).groupBy("query_id").agg(F.min_by("name", "seq").alias("name"))
+    keyed = names.select("name", "seq", F.lower("name").alias("n")).filter(F.col("n").isNotNull()).groupBy("n").agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq"))
+    lengths = F.broadcast(keyed.select(F.length("n").alias("l")).distinct())
+    asked = queries.select("query_id", F.lower("query").alias("q")).join(lengths, F.col("l") <= F.length("q"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("q") - F.col("l") + 1), lambda i: F.substring(F.col("q"), i, F.col("l")))
+    found = asked.select("query_id", F.explode(F.array_distinct(parts)).alias("n")).join(keyed, "n")
+    best = found.groupBy("query_id").agg(F.min_by("name", "seq").alias("name"))
     return queries.select("query_id").join(best, "query_id", "left")
 
 

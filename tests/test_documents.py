@@ -1,5 +1,6 @@
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +179,17 @@ def test_named_entity(spark):
     assert {r["query_id"]: r["name"] for r in graph.named_entity(q, n).collect()} == {1: "York", 2: "York", 3: None}
 
 
+def test_named_entity_of_names_with_one_first_word(spark):
+    """Names that share their first word don't meet every query, and names may begin with any character."""
+    names = spark.range(20_000).select(F.format_string("Shop#%06d", "id").alias("name"), F.col("id").alias("seq")).union(spark.createDataFrame([("#x Y", -1), ("shop#000007", 7)], "name string, seq long"))
+    q = spark.range(20_000).select(F.col("id").alias("query_id"), F.format_string("by shop#%06d now", "id").alias("query"))
+    q = q.union(spark.createDataFrame([(-1, "see #X y"), (-2, None)], "query_id long, query string"))
+    began = time.time()
+    got = {r["query_id"]: r["name"] for r in graph.named_entity(q, names).collect()}
+    assert time.time() - began < 60
+    assert got == {i: f"Shop#{i:06d}" for i in range(20_000)} | {7: got[7], -1: "#x Y", -2: None} and got[7].lower() == "shop#000007"
+
+
 def test_store(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", {"x": "1", "y": "2"}), (2, "b", None)], "id long, text string, metadata map<string,string>")
     new = spark.createDataFrame([(2, "c", {"z": "3"}), (1, "d", {"x": "9"})], "id long, text string, metadata map<string,string>")
