@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,39 @@ def test_bm25_against_formula(spark):
     assert chars.search(spark.createDataFrame([(1, "dx")], "query_id int, query string"), 1).first()["id"] == 2
 
 
+def test_bm25_scores_where_documents_are(spark, monkeypatch):
+    """No task groups the words of a share of the corpus, and no (query, document) pair is grouped after a shuffle."""
+    plans, table = [], lexical.Scratch.table
+
+    def seen(self, df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, *a, **b)
+
+    monkeypatch.setattr(lexical.Scratch, "table", seen)
+    d = spark.createDataFrame([(i % 200, f"w{i % 7} w{i % 11} w{i} \n w{i % 7}") for i in range(200)], "id long, content string").repartition(3)
+    q = spark.createDataFrame([(i, f"w{i} w{i + 1} w3 w3") for i in range(20)], "query_id int, query string")
+    hits = lexical.Bm25(d).search(q, 4)
+    plans.append(hits._jdf.queryExecution().executedPlan().toString())
+    assert hits.count() == 80 and not any(re.search(r"Aggregate\(keys=\[(?=[^\]]*,)[^\]]*\bid#", p) for p in plans)
+    every = {(r["query_id"], r["id"]): r["score"] for r in lexical.Bm25(d).all_scores(q).collect()}
+    want = {i: sorted(((-every[i, j], j) for j in range(200)))[:4] for i in range(20)}
+    got = {i: [(-r["score"], r["id"]) for r in sorted(hits.filter(F.col("query_id") == i).collect(), key=lambda r: r["rank"])] for i in range(20)}
+    assert got == want
+
+
+def test_bm25_of_odd_rows(spark):
+    """Rows of one id are one document, scores below 0 stand after documents without a shared term, texts may be null."""
+    d = spark.createDataFrame([(1, "x z"), (2, "x z"), (3, "x z"), (4, "x z"), (5, "y")], "id long, content string")
+    q = spark.createDataFrame([(1, "x"), (2, "none")], "query_id int, query string")
+    top = {r["query_id"]: (r["id"], r["score"]) for r in lexical.Bm25(d).search(q, 1).collect()}
+    assert top == {1: (5, 0.0), 2: (1, 0.0)}
+    twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "c"), (None, "a"), (3, None), (4, "")], "id long, content string")
+    index = lexical.Bm25(twice)
+    rows = sorted(((r["id"] or 0, r["term"], r["tf"], r["dl"]) for r in index.postings.collect()))
+    assert rows == [(0, "a", 1, 1), (1, "a", 1, 2), (1, "b", 2, 2), (1, "c", 1, 2), (2, "c", 1, 1)]
+    assert lexical.Bm25(twice.limit(0)).search(q, 2).count() == 0 and index.search(q, 9).count() == 10
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(5)]) for i in range(60)] + [(60, [0.0] * 5), (61, None), (62, [1.0])]
