@@ -10,7 +10,7 @@ from granary.functions import text as tx
 from granary.operators import evaluate, graph, models, store
 from granary.operators.components import connected_components
 from granary.plans import pipelines
-from granary.runtime import Scratch, table
+from granary.runtime import Scratch, spread, table
 from granary.sources import readers
 from granary.streaming import tokens
 
@@ -147,7 +147,7 @@ def layout_boxes(spark, sf_dir):
 
 def layout_repair(spark, sf_dir):
     """Replies with a repeated object and a last one that breaks off."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
     one = F.format_string('{"bbox": [%d, 2, 30, 40], "category": "Text", "text": "%s"}', F.col("p_size"), F.col("p_name"))
     two = F.format_string('{"bbox": [1, %d, 30, 40], "category": "Title", "text": "%s"}', F.col("p_size"), F.col("p_brand"))
     raw = F.concat(F.lit("["), one, F.lit(", "), two, F.lit(", "), one, F.lit(', {"bbox": [1, 2'))

@@ -190,6 +190,17 @@ def test_named_entity_of_names_with_one_first_word(spark):
     assert got == {i: f"Shop#{i:06d}" for i in range(20_000)} | {7: got[7], -1: "#x Y", -2: None} and got[7].lower() == "shop#000007"
 
 
+def test_layout_repair_is_spread(spark, tmp_path):
+    """Rows of one small file are repaired by several tasks."""
+    from granary.plans import knowledge
+
+    p = spark.range(50_000).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit(3).alias("p_size"))
+    p.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = knowledge.layout_repair(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 3
+    assert [tuple(r) for r in out.filter("p_partkey = 7").collect()] == [(7, 2, "n|b")]
+
+
 def test_store(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", {"x": "1", "y": "2"}), (2, "b", None)], "id long, text string, metadata map<string,string>")
     new = spark.createDataFrame([(2, "c", {"z": "3"}), (1, "d", {"x": "9"})], "id long, text string, metadata map<string,string>")
