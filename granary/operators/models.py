@@ -26,11 +26,13 @@ def hash_embedder(dim: int = 64) -> Embedder:
     """Signed counts of hashed words, at unit length; a text without words is all zeros."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            for w in (t or "").replace("\n", " ").lower().split():
-                h = xxhash.xxh3_64_intdigest(w)
-                out[i, h % dim] += 1.0 if h >> 63 else -1.0
+        lines = [(t or "").replace("\n", " ").lower().split() for t in texts]
+        place: dict[str, int] = {}  # each word is hashed once a batch
+        code = np.array([place.setdefault(w, len(place)) for line in lines for w in line], np.int64)
+        hashes = [xxhash.xxh3_64_intdigest(w) for w in place]
+        slot, sign = np.array([h % dim for h in hashes], np.int64), np.array([1.0 if h >> 63 else -1.0 for h in hashes])
+        row = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+        out = np.bincount(row * dim + slot[code], sign[code], len(lines) * dim).astype(np.float64).reshape(-1, dim)
         norm = np.sqrt((out * out).sum(axis=1))
         return pd.Series(list(out / np.where(norm > 0, norm, 1)[:, None]))
 

@@ -137,6 +137,16 @@ def test_bm25_of_odd_rows(spark):
     assert lexical.Bm25(twice.limit(0)).search(q, 2).count() == 0 and index.search(q, 9).count() == 10
 
 
+def test_search_makes_vectors_once(spark):
+    """A model that makes the vectors searched runs once a text, also where some don't fit."""
+    d = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "id long, t string")
+    v = d.select("id", F.when(F.col("id") < 3, models.embedded(F.col("t"), models.hash_embedder(8))).alias("vector"))
+    q = d.filter("id = 2").select(F.col("id").alias("query_id"), models.embedded(F.col("t"), models.hash_embedder(8)).alias("vector"))
+    hits = dense.search(spark, v, q, 5)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["id"] for r in hits.orderBy("rank").collect()] == [2, 1]
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(5)]) for i in range(60)] + [(60, [0.0] * 5), (61, None), (62, [1.0])]
