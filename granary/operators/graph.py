@@ -95,10 +95,11 @@ def communities(edges: DataFrame, scratch: Scratch, max_size: int = 5, rounds: i
     Level 0 are connected components. A cluster over the size is split by rounds of local moves:
     each node takes the label of largest modularity gain (links to it less those expected), ties to
     its own and then the smallest label, and nodes of one hash parity move at a time so that labels
-    don't swap for ever. A part
+    don't swap for ever; once neither parity moves, later rounds can't either. A part
     that doesn't split stays, as the only case over the size. Deterministic.
     """
-    both = scratch.table(neighbours(edges).select("node", "other").filter("node <> other").distinct(), "neighbours")
+    near = scratch.table(neighbours(edges).select("node", "other").filter("node <> other").distinct(), "neighbours")
+    parity = F.pmod(F.xxhash64("node"), F.lit(2))
     base = connected_components(edges, scratch, "a", "b").select("node", F.col("component").alias("label"))
     now = scratch.table(base.select("node", F.xxhash64(F.lit(0), "label").alias("community"), F.lit(None).cast("long").alias("parent")), "level")
     out = []
@@ -110,23 +111,34 @@ def communities(edges: DataFrame, scratch: Scratch, max_size: int = 5, rounds: i
         if not more:
             out.append(sized.select("node", "community", "parent", F.lit(level).alias("level"), F.lit(True).alias("final")))
             break
-        labels = scratch.table(big.select("node", "community", F.col("node").alias("label")), "labels")
-        inner = both.join(labels.select("node", "community"), "node").join(labels.select(F.col("node").alias("other"), F.col("community").alias("c")), "other").filter("community = c").select("node", "other")
-        inner = scratch.table(inner, "inner")
-        degree = scratch.table(inner.groupBy("node").agg(F.count("*").alias("deg")), "degree")
+        # Links inside a cluster were links inside its parent; each row has what a node's gains need.
+        ends = big.select("node", "community")
+        inner = near.join(ends, "node").join(ends.select(F.col("node").alias("other"), F.col("community").alias("c")), "other").filter("community = c").select("node", "other")
+        near = inner = scratch.table(inner, "inner")
+        degree = ends.join(inner.groupBy("node").agg(F.count("*").alias("deg")), "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+        degree = scratch.table(degree, "degree")
+        weight = degree.groupBy("community").agg(F.sum("deg").alias("all"))
+        labels = scratch.table(degree.join(weight, "community").select("node", "community", "deg", "all", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
+        still = 0
         for step in range(rounds):
-            held = labels.join(degree, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-            weight = held.groupBy("community").agg(F.sum("deg").alias("all"))
-            total = held.groupBy("community", "label").agg(F.sum("deg").alias("tot")).join(weight, "community")
-            links = inner.join(labels.select(F.col("node").alias("other"), F.col("label").alias("to")), "other").groupBy("node", "to").agg(F.count("*").alias("n"))
-            tried = links.join(held, "node").unionByName(held.withColumn("n", F.lit(0).cast("long")).withColumn("to", F.col("label")))
-            tried = tried.groupBy("node", "community", "label", "deg", "to").agg(F.max("n").alias("n")).join(total.withColumnRenamed("label", "to"), ["community", "to"])
-            own = F.when(F.col("to") == F.col("label"), F.col("deg")).otherwise(0)
-            gain = F.round(F.col("n") - F.col("deg") * (F.col("tot") - own) / F.greatest(F.col("all"), F.lit(1)), 9)
-            best = Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(F.col("to") == F.col("label")), "to")
-            pick = tried.withColumn("gain", gain).withColumn("r", F.row_number().over(best)).filter("r = 1").select("node", F.col("to").alias("new"))
-            move = F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2
-            labels = scratch.table(labels.join(pick, "node", "left").select("node", "community", F.when(move, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label")), "labels")
+            # A label is a node of its cluster, so it tells the cluster.
+            total = labels.groupBy(F.col("label").alias("to")).agg(F.sum("deg").alias("tot"))
+            movers, others = labels.filter(parity == step % 2), labels.filter(parity != step % 2)
+            held = labels.select(F.col("node").alias("other"), F.col("label").alias("to"))
+            links = inner.filter(parity == step % 2).join(held, "other").groupBy("node", "to").agg(F.count("*").alias("n"))
+            tried = links.join(movers, "node").select("node", "community", "deg", "all", "label", "to", "n")
+            tried = tried.unionByName(movers.select("node", "community", "deg", "all", "label", F.col("label").alias("to"), F.lit(0).cast("long").alias("n")))
+            tried = tried.join(total, "to")
+            stays = F.col("to") == F.col("label")
+            gain = F.round(F.col("n") - F.col("deg") * (F.col("tot") - F.when(stays, F.col("deg")).otherwise(0)) / F.greatest(F.col("all"), F.lit(1)), 9)
+            # Of the two rows of a node's own label the one with its links is the better.
+            best = Window.partitionBy("node").orderBy(F.desc("gain"), F.desc(stays), "to")
+            pick = tried.withColumn("gain", gain).withColumn("r", F.row_number().over(best)).filter("r = 1")
+            pick = pick.select("node", "community", "deg", "all", F.col("to").alias("label"), (~stays).alias("moved"))
+            labels = scratch.table(pick.unionByName(others.withColumn("moved", F.lit(False))), "labels")
+            still = 0 if labels.filter("moved").limit(1).count() else still + 1
+            if still == 2:
+                break
         parts = labels.groupBy("community").agg(F.countDistinct("label").alias("parts"))
         split = labels.join(parts, "community").filter("parts > 1")
         settled = sized.join(split.select("node"), "node", "left_anti")

@@ -173,6 +173,25 @@ def test_communities_nest(spark):
     assert {r["parent"] for r in final} <= {r["community"] for r in rows}
 
 
+def test_communities_stop_when_nothing_moves(spark):
+    """Stars settle in few rounds; the rest, which can't change anything, is left out."""
+    rounds = []
+
+    class Counted(runtime.Scratch):
+        def table(self, df, name="t", *a, **b):
+            rounds.append(name)
+            return super().table(df, name, *a, **b)
+
+    e = spark.createDataFrame([(f"a{i}", f"b{i % 2}", "r", "d") for i in range(20)] + [("b0", "b1", "r", "d")], "a string, b string, relation string, description string")
+    rows = graph.communities(e, Counted(spark), max_size=12, levels=1).collect()
+    by = {}
+    for r in rows:
+        if r["final"]:
+            by.setdefault(r["community"], set()).add(r["node"])
+    assert sorted(map(sorted, by.values())) == [sorted([f"b{k}", *[f"a{i}" for i in range(k, 20, 2)]]) for k in (0, 1)]
+    assert rounds.count("labels") < 8
+
+
 def test_named_entity(spark):
     q = spark.createDataFrame([(1, "in New York now"), (2, "yorkshire"), (3, "nothing")], "query_id int, query string")
     n = spark.createDataFrame([("New York", 2), ("York", 1)], "name string, seq int")
